@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.llm import bpe, token_counts
+from lineweave.llm import bpe, minhash, token_counts
 from lineweave.llm._shared import documents
 
 
@@ -18,10 +18,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), with_ids=False)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, rest = token_counts.split_byte_vocabulary(vocabulary("byte_bpe_50k.tiktoken"))
     return token_counts.token_counts(documents(spark, sf_dir), first, rest)
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op8_token_counts": op8_token_counts}
+QUERIES = {"op2_bpe": op2_bpe, "op6_minhash": op6_minhash, "op8_token_counts": op8_token_counts}
 ORACLES: dict[str, str] = {}
