@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.llm import bpe, minhash, token_counts
+from lineweave.llm import bpe, minhash, mixing, token_counts
 from lineweave.llm._shared import documents
 
 
@@ -18,6 +18,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), with_ids=False)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
 
@@ -27,5 +31,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), first, rest)
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op6_minhash": op6_minhash, "op8_token_counts": op8_token_counts}
+QUERIES = {"op2_bpe": op2_bpe, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op8_token_counts": op8_token_counts}
 ORACLES: dict[str, str] = {}
