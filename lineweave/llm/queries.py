@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.llm import bpe, minhash, mixing, token_counts
+from lineweave.llm import bpe, minhash, mixing, token_counts, topk
 from lineweave.llm._shared import documents
 
 
@@ -31,5 +31,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), first, rest)
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op8_token_counts": op8_token_counts}
-ORACLES: dict[str, str] = {}
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+QUERIES = {"op2_bpe": op2_bpe, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op8_token_counts": op8_token_counts, "op10_topk": op10_topk}
+ORACLES: dict[str, str] = {"op10_topk": topk.ORACLE}
