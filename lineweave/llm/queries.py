@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.llm import bpe, minhash, mixing, token_counts, topk
+from lineweave.llm import bpe, line_dedup, minhash, mixing, token_counts, topk
 from lineweave.llm._shared import documents
 
 
@@ -18,6 +18,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), with_ids=False)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
@@ -36,5 +40,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op8_token_counts": op8_token_counts, "op10_topk": op10_topk}
+QUERIES = {"op2_bpe": op2_bpe, "op3_line_dedup": op3_line_dedup, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op8_token_counts": op8_token_counts, "op10_topk": op10_topk}
 ORACLES: dict[str, str] = {"op10_topk": topk.ORACLE}
