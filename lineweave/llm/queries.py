@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.llm import bpe, line_dedup, minhash, mixing, token_counts, topk
+from lineweave.llm import bpe, line_dedup, minhash, mixing, token_counts, topk, toxicity
 from lineweave.llm._shared import documents
 
 
@@ -30,6 +30,11 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.toxicity(documents(spark, sf_dir), labels, threshold=0.3).select("doc_id", "held_out", "score", "predicted", "raw")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, rest = token_counts.split_byte_vocabulary(vocabulary("byte_bpe_50k.tiktoken"))
     return token_counts.token_counts(documents(spark, sf_dir), first, rest)
@@ -40,5 +45,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_line_dedup": op3_line_dedup, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op8_token_counts": op8_token_counts, "op10_topk": op10_topk}
+QUERIES = {"op2_bpe": op2_bpe, "op3_line_dedup": op3_line_dedup, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op10_topk": op10_topk}
 ORACLES: dict[str, str] = {"op10_topk": topk.ORACLE}
