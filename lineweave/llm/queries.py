@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lineweave.llm import bpe, line_dedup, minhash, mixing, token_counts, topk, toxicity
+from lineweave.llm import bpe, licenses, line_dedup, minhash, mixing, token_counts, topk, toxicity
 from lineweave.llm._shared import documents
 
 
@@ -14,6 +15,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a directory for each source, language and hundred of ids."""
+    hundred = F.floor(F.col("doc_id") / 100)
+    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), hundred.cast("string"), F.col("doc_id").cast("string"))
+    return licenses.scan_licenses(documents(spark, sf_dir), path=path)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), with_ids=False)
 
@@ -45,5 +53,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_line_dedup": op3_line_dedup, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op10_topk": op10_topk}
+QUERIES = {"op1_licenses": op1_licenses, "op2_bpe": op2_bpe, "op3_line_dedup": op3_line_dedup, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op10_topk": op10_topk}
 ORACLES: dict[str, str] = {"op10_topk": topk.ORACLE}
