@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.llm import bpe, licenses, line_dedup, minhash, mixing, token_counts, topk, toxicity
+from lineweave.llm import bpe, fingerprints, licenses, line_dedup, minhash, mixing, token_counts, topk, toxicity
 from lineweave.llm._shared import documents
 
 
@@ -48,10 +48,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), first, rest)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
-QUERIES = {"op1_licenses": op1_licenses, "op2_bpe": op2_bpe, "op3_line_dedup": op3_line_dedup, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op10_topk": op10_topk}
+QUERIES = {"op1_licenses": op1_licenses, "op2_bpe": op2_bpe, "op3_line_dedup": op3_line_dedup, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_fingerprints": op9_fingerprints, "op10_topk": op10_topk}
 ORACLES: dict[str, str] = {"op10_topk": topk.ORACLE}
