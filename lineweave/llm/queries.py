@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.llm import bpe, fingerprints, licenses, line_dedup, minhash, mixing, token_counts, topk, toxicity
+from lineweave.llm import bpe, fingerprints, licenses, line_dedup, minhash, mixing, suffix_dedup, token_counts, topk, toxicity
 from lineweave.llm._shared import documents
 
 
@@ -30,6 +30,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), length=200, with_kept=False)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
@@ -57,5 +61,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
-QUERIES = {"op1_licenses": op1_licenses, "op2_bpe": op2_bpe, "op3_line_dedup": op3_line_dedup, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_fingerprints": op9_fingerprints, "op10_topk": op10_topk}
+QUERIES = {"op1_licenses": op1_licenses, "op2_bpe": op2_bpe, "op3_line_dedup": op3_line_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_fingerprints": op9_fingerprints, "op10_topk": op10_topk}
 ORACLES: dict[str, str] = {"op10_topk": topk.ORACLE}
