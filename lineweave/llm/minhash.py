@@ -5,11 +5,12 @@ the least hash of its bucket, the count of leading zeros and ``MANTISSA`` bits a
 registers borrow from the first filled bucket of a fixed permutation, so small sets band as large ones do.
 
 Documents with equal sets form one class and one representative enters the search, so copies never meet pairwise. In
-each bucket of a band, members are compared with the member that most other documents share buckets with (for copies
-of one original, the original); links join into components. Buckets that then still hold several components have their
-members outside the leader's component compared with the others. So no bucket's pairs are all formed, and no pair
-that shares a band and could join two components stays untried. A pair of similarity 0.8 shares none of 40 bands of 5
-with a probability of 1e-7.
+each bucket of a band, members are compared with a leader, the member that most other documents share buckets with (for
+copies of one original, the original); links join into components. Where a bucket then still holds several, its members
+are described by what they lack of the leader and what they add. A member outside the leader's component can link with
+another only if they share a number of these differences that their counts imply, so the two meet in a join on prefixes
+of their differences (see ``across``). So no bucket's pairs are all formed, and no pair that shares a band and could join
+two components is lost. A pair of similarity 0.8 shares none of 40 bands of 5 with a probability of 1e-7.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.n
 
 
 def likely(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose corrected estimate leaves the threshold within 9 standard errors; small sets all stay."""
+    """Pairs (a, b) whose corrected estimate is at most 6 standard errors under the threshold, by the filled registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +147,8 @@ def likely(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
                 continue
             n, k = (batch.column(i).to_numpy().astype(float) for i in (2, 3))
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (4, 5))
-            slack = 4.5 / np.sqrt(np.minimum(x.shape[1], np.minimum(n, k)))
+            filled = x.shape[1] * (1 - np.exp(-np.minimum(n, k) / x.shape[1]))
+            slack = 6 * np.sqrt(percent / 100 * (1 - percent / 100) / filled)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(estimate(x, y, n, k) >= percent / 100 - slack))
 
     side = lambda c: sketched.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
@@ -155,27 +157,81 @@ def likely(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
     return over_arrow(both.select("a", "b", "na", "nb", "ra", "rb"), run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, df: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union, on the full sets of the whole texts."""
+def side_by_side(pairs: DataFrame, df: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their texts (ta, tb); only texts of the pairs' ends are shuffled twice."""
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = stored(df.join(ends, "doc_id", "left_semi"), "texts")
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+
+
+def two_sets(batch: pa.RecordBatch, words: int, hashes: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    last: tuple[str | None, np.ndarray] = (None, np.empty(0, _U))
+    for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        if x != last[0]:
+            last = (x, shingles(x, words, hashes))
+        yield last[1], shingles(y, words, hashes)
+
+
+def confirmed(pairs: DataFrame, df: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= percent * union, on the full sets of the whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        last: tuple[str, np.ndarray] = ("", np.empty(0, _U))
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if x != last[0]:
-                    last = (x, shingles(x, words, hashes))
-                s = last[1]
-                t = shingles(y, words, hashes)
+            for s, t in two_sets(batch, words, hashes):
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
-    return over_arrow(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb"), run, "a long, b long")
+    return over_arrow(side_by_side(pairs, df), run, "a long, b long")
+
+
+def across(stars: DataFrame, df: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of different components that share a leader.
+
+    ``stars``: leader, member, inside (the member's component), outside (it is not the leader's). With l the size of the
+    leader's set and a member's d deletions from and a additions to it, two members that share s differences have
+
+        intersection = l - d1 - d2 + s,  union = l + a1 + a2 - s,
+
+    so they link just if s >= (p (l + a1 + a2) - 100 (l - d1 - d2)) / (100 + p). A member outside the leader's component
+    has p (l + a1) > 100 (l - d1). For it this asks for s >= (p (l + a1) - 100 (l - d1)) / 100 whatever the other is,
+    and for the other for s > (p a2 + 100 d2) / (100 + p). In one order of all differences, additions first, lists of
+    e1 and e2 that share s have an element in common among their first e1 - s + 1 and e2 - s + 1, so these are joined
+    and the few pairs that meet are counted out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            rows = []
+            for s, t in two_sets(batch, words, hashes):
+                more, less = np.setdiff1d(t, s, assume_unique=True), np.setdiff1d(s, t, assume_unique=True)
+                rows.append((len(s), len(less), len(more), np.concatenate([more, less]).view(np.int64)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds))], names=["a", "b", "l", "d", "m", "e"])
+
+    pairs = stars.select(F.col("leader").alias("a"), F.col("member").alias("b"))
+    told = over_arrow(side_by_side(pairs, df), run, "a long, b long, l long, d long, m long, e array<long>")
+    told = stored(told.join(stars.select(F.col("leader").alias("a"), F.col("member").alias("b"), "inside", "outside"), ["a", "b"]), "differences")
+    p = percent
+    need = F.greatest(F.lit(1), F.ceil((p * (F.col("l") + F.col("m")) - 100 * (F.col("l") - F.col("d"))) / 100))
+    other = F.floor((p * F.col("m") + 100 * F.col("d")) / (100 + p)) + 1
+    sizes = ["a", "b", "inside", "outside", "l", "d", "m"]
+    prefix = lambda n: F.explode(F.slice("e", F.lit(1), F.greatest(F.lit(0), F.size("e") - n + 1).cast("int"))).alias("at")
+    x = told.where("outside").select(*(F.col(c).alias(f"x_{c}") for c in sizes), prefix(need))
+    y = told.select(*(F.col(c).alias(f"y_{c}") for c in sizes), prefix(other))
+    most = F.least("x_d", "y_d") + F.least("x_m", "y_m")
+    enough = (100 + p) * most >= p * (F.col("x_l") + F.col("x_m") + F.col("y_m")) - 100 * (F.col("x_l") - F.col("x_d") - F.col("y_d"))
+    met = x.join(y, (F.col("x_a") == F.col("y_a")) & (x["at"] == y["at"]) & (F.col("x_inside") != F.col("y_inside")) & (~F.col("y_outside") | (F.col("x_b") < F.col("y_b"))) & enough)
+    met = met.select(F.col("x_a").alias("a"), "x_b", "y_b").distinct()
+    full = lambda c: told.select("a", F.col("b").alias(f"{c}_b"), F.col("l").alias(f"{c}_l"), F.col("d").alias(f"{c}_d"), F.col("m").alias(f"{c}_m"), F.col("e").alias(f"{c}_e"))
+    both = met.join(full("x"), ["a", "x_b"]).join(full("y"), ["a", "y_b"])
+    s = F.size(F.array_intersect("x_e", "y_e"))
+    linked = 100 * (F.col("x_l") - F.col("x_d") - F.col("y_d") + s) >= p * (F.col("x_l") + F.col("x_m") + F.col("y_m") - s)
+    return both.where(linked).select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,11 +269,11 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80, bands:
 
     at = labelled(buckets.select("key", "rep"), "rep")
     split = at.groupBy("key").agg(F.min("rep_in").alias("lo"), F.max("rep_in").alias("hi")).where("lo < hi").select("key")
-    open_ = stored(at.join(split, "key").join(labelled(leaders, "leader"), "key").select("key", "rep", "rep_in", (F.col("rep_in") != F.col("leader_in")).alias("outside")), "open")
-    outside = open_.where("outside").select("key", F.col("rep").alias("x"), F.col("rep_in").alias("x_in"))
-    rest = outside.join(open_, "key").where("x_in <> rep_in and (not outside or x < rep)").select(*ordered("x", "rep")).distinct()
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    more = stored(confirmed(stored(likely(rest, firsts, percent), "likely"), docs, words, percent), "links")
+    open_ = at.join(split, "key").join(labelled(leaders, "leader"), "key").where("rep <> leader")
+    stars = open_.select("leader", F.col("rep").alias("member"), F.col("rep_in").alias("inside"), (F.col("rep_in") != F.col("leader_in")).alias("outside")).distinct()
+    # a star of one member has nobody else to link with
+    busy = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("leader")
+    more = stored(across(stored(stars.join(busy, "leader"), "stars"), docs, words, percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 

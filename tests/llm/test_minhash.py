@@ -72,3 +72,25 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(20, 33)] + [(1, 7), (7, 1), (3, 3), (None, 2), (40, 1)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 20 for i in range(20, 34)}, 1: 1, 7: 1, 40: 1, 3: 3}
+
+
+def test_links_across_a_star(spark):
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(80)]
+    base = [rng.choice(vocab) for _ in range(90)]
+    texts = {0: " ".join(base)}
+    for i in range(1, 90):  # edits upon edits, so that distant members are near one another
+        w = texts[rng.choice([0, rng.randrange(i)])].split()
+        for _ in range(rng.choice([1, 3, 6])):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice([0, 1, 2])] = [rng.choice(vocab) for _ in range(rng.choice([0, 1, 2]))]
+        texts[i] = " ".join(w)
+    for k in (2, 5):
+        sets = {i: shingle_set(t, k) for i, t in texts.items()}
+        near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])  # noqa: E731,B023
+        far = {i for i in texts if i and not near(i, 0)}
+        stars = spark.createDataFrame([(0, i, i if i in far else 0, i in far) for i in texts if i], "leader long, member long, inside long, outside boolean")
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        got = {(r.a, r.b) for r in minhash.across(stars, docs, k, 80).collect()}
+        want = {(a, b) for a in texts for b in texts if 0 < a < b and (a in far or b in far) and near(a, b)}
+        assert got == want and len(want) > 20
