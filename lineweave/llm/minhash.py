@@ -253,6 +253,9 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80, bands:
     banded = firsts.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "size")
     buckets = stored(banded.join(shared, "key"), "buckets")
+    # texts of all that share a bucket, shuffled once; by a merge join at every size
+    members_of = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    pool = stored(docs.join(members_of.hint("merge"), "doc_id", "left_semi"), "pool")
     central = buckets.groupBy("rep").agg(F.sum("size").alias("weight"))
     weighed = buckets.select("key", "rep").join(central, "rep")
     leaders = stored(weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("top")).select("key", (-F.col("top.rep")).alias("leader")), "leaders")
@@ -261,7 +264,7 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80, bands:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     tried = stored(buckets.join(leaders, "key").where("rep <> leader").select(*ordered("rep", "leader")).distinct(), "tried")
-    links = stored(confirmed(stored(likely(tried, firsts, percent), "likely"), docs, words, percent), "links")
+    links = stored(confirmed(stored(likely(tried, firsts, percent), "likely"), pool, words, percent), "links")
     labels = components(links)
 
     def labelled(x: DataFrame, c: str) -> DataFrame:
@@ -273,7 +276,7 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80, bands:
     stars = open_.select("leader", F.col("rep").alias("member"), F.col("rep_in").alias("inside"), (F.col("rep_in") != F.col("leader_in")).alias("outside")).distinct()
     # a star of one member has nobody else to link with
     busy = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("leader")
-    more = stored(across(stored(stars.join(busy, "leader"), "stars"), docs, words, percent), "links")
+    more = stored(across(stored(stars.join(busy, "leader"), "stars"), pool, words, percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
