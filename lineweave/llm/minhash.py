@@ -247,8 +247,9 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80, bands:
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     sketched = stored(sketches(docs, words, bands, rows), "sketches")
     members = sketched.select("doc_id", "n", "d1", "d2")
-    classes = members.where("doc_id is not null and n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    firsts = stored(sketched.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"], "left_semi").select("doc_id", "n", "registers", "keys"), "classes")
+    # stored, so that joins with it may split the keys of large groups of copies
+    classes = stored(members.where("doc_id is not null and n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
+    firsts = stored(sketched.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"], "left_semi").select("doc_id", "n", "registers", "keys"), "firsts")
 
     banded = firsts.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "size")
