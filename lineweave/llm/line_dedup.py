@@ -103,7 +103,8 @@ def dedup_lines(df: DataFrame, *, min_words: int = 5, id_col: str = "doc_id", te
     lines = stored(line_hashes(docs), "lines")
     rare = lines.select("doc_id", "key", F.explode(F.arrays_zip("hashes", "words")).alias("line")).where(F.col("line.words") >= min_words)
     rare = rare.select(F.struct("doc_id", "key").alias("doc"), F.col("line.hashes").alias("h"))
-    firsts = rare.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "first")
+    # stored, so that the join with it may split the keys of very common lines
+    firsts = stored(rare.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "first"), "firsts")
     pairs = rare.join(firsts, "h").where("doc > first").select(F.col("first.doc_id").alias("a"), F.col("first.key").alias("a_key"), F.col("doc.doc_id").alias("b"), F.col("doc.key").alias("b_key")).distinct()
     one = lines.dropDuplicates(["doc_id", "key"])
 
