@@ -194,7 +194,8 @@ def remove_repeats(df: DataFrame, *, length: int = 200, id_col: str = "doc_id",
         raise ValueError("length is out of range")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).alias("text"))
     found = runs(docs, length)
-    names = found.groupBy("name").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("name")
+    # stored, so that the join with it may split the keys of very common passages
+    names = stored(found.groupBy("name").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("name"), "names")
     shared = stored(found.join(names, "name", "left_semi"), "shared")
     classes = stored(shared.groupBy("name", "context").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "key", "run"))), "contexts")
     whole = shared.join(classes.where("n > 1").select("name", "context"), ["name", "context"], "left_semi").select("doc_id", "key", "run")
