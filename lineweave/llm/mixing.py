@@ -18,11 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineweave.llm._shared import stored
+
 NEWTON_STEPS = 64
 #: Base rates are held to this many decimals, which bounds the sums of a source.
 BASE_DECIMALS = 2
 #: Documents of a shard in which copies are rounded together, about.
-SHARD_ROWS = 20_000
+SHARD_ROWS = 2_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -90,6 +92,8 @@ def mix(df: DataFrame, *, cap: float = 3.0, weights: tuple[float, ...] = (1.0, 2
         word_count(text_col).alias("size"),
         F.round(base, BASE_DECIMALS).alias("q"),
     )
+    # counting words is the costly part: once, not for sums and copies alike
+    sized = stored(sized, "sizes")
     sums = sized.groupBy("source", "q").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"))
     by_source = sums.groupBy("source").agg(
         F.sum("n").alias("source_size"),
