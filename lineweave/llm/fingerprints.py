@@ -7,9 +7,9 @@ documents keep the same sample in a slot as often as their weights in it agree b
 sum of minima over the sum of maxima; slots that both leave empty do not count. One sample for each word, not one for
 each word and slot, keeps the work linear in the words.
 
-Documents are dealt by ranges of ids into buckets. A sentinel row at each bucket's end holds the text that follows, so
-that neighbours meet in a window of one bucket, and all counting happens where the window put the rows: the text is
-shuffled once.
+Words are hashed, sorted and counted within their document by array functions, so that a task's memory is bounded by a
+document, not by the words of all its rows. Documents are dealt by ranges of ids into buckets. A sentinel row at each
+bucket's end holds the text that follows, so that neighbours meet in a window of one bucket; texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -40,15 +40,34 @@ def uniform(h: Column, seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(h, F.lit(seed)), 11).cast("double") + 0.5) * 2.0**-53
 
 
-def sample(h: Column, count: Column) -> Column:
-    """Sampled (a, (word, t)) as one long that orders by a: ln a in fixed point above 32 bits of the hash of (word, t)."""
+def sample(h: Column, count: Column, slots: int) -> Column:
+    """A slot, ln a in fixed point, and 27 bits of the hash of (word, t), packed from high to low into a positive long."""
     r = -F.log(uniform(h, 1) * uniform(h, 2))
     log_c = F.log(-F.log(uniform(h, 3) * uniform(h, 4)))
     b = uniform(h, 5)
     t = F.floor(F.log(count.cast("double")) / r + b)
     log_a = log_c - r * (t - b) - r
-    fixed = F.greatest(F.lit(0.0), F.least(F.lit(2.0**30), (log_a + 128) * 2.0**22)).cast("long")
-    return F.shiftleft(fixed, 32).bitwiseOR(F.xxhash64(h, t).bitwiseAND(F.lit(0xFFFFFFFF)))
+    fixed = F.greatest(F.lit(0.0), F.least(F.lit(2.0**30 - 1), (log_a + 128) * 2.0**22)).cast("long")
+    slot = F.pmod(F.xxhash64(h, F.lit(6)), F.lit(slots))
+    return F.shiftleft(slot, 57).bitwiseOR(F.shiftleft(fixed, 27)).bitwiseOR(F.xxhash64(h, t).bitwiseAND(F.lit((1 << 27) - 1)))
+
+
+def with_slots(df: DataFrame, text: str, out: str, slots: int) -> DataFrame:
+    """Adds ``out``: the filled slots of a text in order, each as slot * 2^16 + 16 bits of its sample.
+
+    Columns are added one at a time: each array is used several times, which keeps it from being computed as often.
+    """
+    none = F.xxhash64(F.lit(""))  # of the empty strings that splitting leaves at the ends
+    words, ends, packed = f"{out}_words", f"{out}_ends", f"{out}_packed"
+    df = df.withColumn(words, F.sort_array(F.transform(F.split(text, SPACE), lambda w: F.xxhash64(w))))
+    last = lambda i: ~F.get(words, i).eqNullSafe(F.get(words, i + 1))
+    df = df.withColumn(ends, F.filter(F.sequence(F.lit(0), F.size(words) - 1), last))
+    one = lambda i, j: F.when(F.get(words, i) == none, F.lit(-1).cast("long")).otherwise(sample(F.get(words, i), i - F.coalesce(F.get(ends, j - 1), F.lit(-1)), slots))
+    df = df.withColumn(packed, F.sort_array(F.transform(ends, lambda i, j: F.coalesce(one(i, j), F.lit(-1).cast("long")))))
+    slot = lambda x: F.shiftright(x, 57)
+    first = F.filter(packed, lambda x, i: (x >= 0) & (slot(x) != F.coalesce(slot(F.get(packed, i - 1)), F.lit(-1))))
+    df = df.withColumn(out, F.transform(first, lambda x: F.shiftleft(slot(x), 16).bitwiseOR(x.bitwiseAND(F.lit(0xFFFF))).cast("int")))
+    return df.drop(words, ends, packed)
 
 
 def likeness(x: str, y: str) -> Column:
@@ -75,13 +94,15 @@ def fingerprint_documents(df: DataFrame, *, slots: int = 64, id_col: str = "doc_
     another and have a result each. A single document follows itself. An empty table gives none. Other columns are not
     read.
     """
+    if not 1 <= slots <= 64:
+        raise ValueError("slots must be within 1 and 64")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     edges = sorted(set(docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / QUANTILES for i in range(QUANTILES + 1)], 1 / (4 * QUANTILES)))) or [0.0]
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("key"), bucket_of(F.col("doc_id"), edges).alias("bucket"))
 
     # the first document of each bucket, at most QUANTILES * STEPS + 2 rows
     tops = docs.groupBy("bucket").agg(F.max("doc_id").alias("top"))
-    tied = docs.join(tops.withColumnRenamed("bucket", "at"), (F.col("bucket") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    tied = docs.join(F.broadcast(tops.withColumnRenamed("bucket", "at")), (F.col("bucket") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("top")))
     least = tied.groupBy("bucket").agg(F.min("key").alias("least"))
     firsts = tied.join(least, "bucket").where("key = least").dropDuplicates(["bucket"]).select("bucket", "text")
     # whose turn comes before: the bucket above; the highest follows the lowest
@@ -95,24 +116,8 @@ def fingerprint_documents(df: DataFrame, *, slots: int = 64, id_col: str = "doc_
     own = placed.where("next_bucket is null").withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("after", F.lit(1), cut))
-    own = own.withColumn("edited", edited)
-
-    none = {"doc_id": "long", "n_chars": "long", "sha": "string", "into": "int"}
-    blank = [F.lit(None).cast(kind).alias(c) for c, kind in none.items()]
-    each = F.explode(
-        F.array(
-            F.struct(F.lit(0).alias("which"), F.col("text").alias("t"), *blank),
-            F.struct(F.lit(1).alias("which"), F.col("edited").alias("t"), *blank),
-            F.struct(F.lit(2).alias("which"), F.lit("-").alias("t"), "doc_id", "n_chars", F.sha2("edited", 256).alias("sha"), "into"),
-        )
-    )
-    long = own.select("bucket", "seq", each.alias("x")).select("bucket", "seq", "x.which", *(f"x.{c}" for c in none), F.explode(F.split("x.t", SPACE)).alias("word"))
-    place = ["bucket", "seq", "which", *none]
-    counts = long.where("word <> ''").groupBy(*place, F.xxhash64("word").alias("h")).agg(F.count(F.lit(1)).alias("count"))
-    kept = counts.groupBy(*place, F.pmod(F.xxhash64("h", F.lit(6)), F.lit(slots)).alias("slot")).agg(F.min(sample(F.col("h"), F.col("count"))).alias("sample"))
-    value = F.shiftleft(F.col("slot"), 16).bitwiseOR(F.col("sample").bitwiseAND(F.lit(0xFFFF))).cast("int")
-    side = lambda i: F.sort_array(F.collect_list(F.when(F.col("which") == i, value)))
-    prints = kept.groupBy("bucket", "seq").agg(*(F.max(c).alias(c) for c in none), side(0).alias("a"), side(1).alias("b"))
+    own = own.select("bucket", "seq", "doc_id", "n_chars", "text", edited.alias("edited"), F.col("into")).withColumn("sha", F.sha2("edited", 256))
+    prints = with_slots(with_slots(own, "text", "a", slots), "edited", "b", slots).drop("text", "edited")
     prints = stored(prints, "fingerprints")
     mine = prints.withColumn("to_bucket", F.coalesce("into", "bucket")).withColumn("to_seq", F.when(F.col("into").isNull(), F.col("seq") + 1).otherwise(1))
     after = prints.select(F.col("bucket").alias("to_bucket"), F.col("seq").alias("to_seq"), F.col("a").alias("c"))
