@@ -35,21 +35,28 @@ def bucket_of(doc_id: Column, edges: list[float]) -> Column:
     return F.when(doc_id.isNull(), F.lit(-1)).otherwise(coarse * STEPS + F.least(step, F.lit(STEPS - 1))).cast("int")
 
 
-def uniform(h: Column, seed: int) -> Column:
-    """A number in (0, 1) from a hash."""
-    return (F.shiftrightunsigned(F.xxhash64(h, F.lit(seed)), 11).cast("double") + 0.5) * 2.0**-53
+def uniform(bits: Column) -> Column:
+    """A number in (0, 1) from 32 bits of a hash."""
+    return (bits.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) * 2.0**-32
 
 
-def sample(h: Column, count: Column, slots: int) -> Column:
-    """A slot, ln a in fixed point, and 27 bits of the hash of (word, t), packed from high to low into a positive long."""
-    r = -F.log(uniform(h, 1) * uniform(h, 2))
-    log_c = F.log(-F.log(uniform(h, 3) * uniform(h, 4)))
-    b = uniform(h, 5)
-    t = F.floor(F.log(count.cast("double")) / r + b)
-    log_a = log_c - r * (t - b) - r
-    fixed = F.greatest(F.lit(0.0), F.least(F.lit(2.0**30 - 1), (log_a + 128) * 2.0**22)).cast("long")
-    slot = F.pmod(F.xxhash64(h, F.lit(6)), F.lit(slots))
-    return F.shiftleft(slot, 57).bitwiseOR(F.shiftleft(fixed, 27)).bitwiseOR(F.xxhash64(h, t).bitwiseAND(F.lit((1 << 27) - 1)))
+def samples(counted: Column, slots: int) -> Column:
+    """For each struct (h, x: count) a slot, ln a in fixed point, and 27 bits of the hash of (word, t), packed from high to low.
+
+    Each step is an array of its own, so that no draw is computed twice.
+    """
+    high = lambda c: F.shiftrightunsigned(c, 32)
+    drawn = F.transform(counted, lambda w: F.struct(w["h"].alias("h"), w["x"].alias("x"), F.xxhash64(w["h"], F.lit(1)).alias("r"), F.xxhash64(w["h"], F.lit(2)).alias("c"), F.xxhash64(w["h"], F.lit(3)).alias("b")))
+    gamma = lambda c: -F.log(uniform(c) * uniform(high(c)))
+    spread = F.transform(drawn, lambda w: F.struct(w["h"].alias("h"), F.log(w["x"].cast("double")).alias("x"), gamma(w["r"]).alias("r"), F.log(gamma(w["c"])).alias("c"), uniform(high(w["b"])).alias("b"), F.pmod(w["b"].bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(slots)).alias("slot")))
+    placed = F.transform(spread, lambda w: F.struct(w["h"].alias("h"), w["r"].alias("r"), w["c"].alias("c"), w["b"].alias("b"), w["slot"].alias("slot"), F.floor(w["x"] / w["r"] + w["b"]).alias("t")))
+
+    def pack(w: Column) -> Column:
+        log_a = w["c"] - w["r"] * (w["t"] - w["b"] + 1)
+        fixed = F.greatest(F.lit(0.0), F.least(F.lit(2.0**30 - 1), (log_a + 128) * 2.0**22)).cast("long")
+        return F.shiftleft(w["slot"], 57).bitwiseOR(F.shiftleft(fixed, 27)).bitwiseOR(F.xxhash64(w["h"], w["t"]).bitwiseAND(F.lit((1 << 27) - 1)))
+
+    return F.transform(placed, pack)
 
 
 def with_slots(df: DataFrame, text: str, out: str, slots: int) -> DataFrame:
@@ -62,10 +69,11 @@ def with_slots(df: DataFrame, text: str, out: str, slots: int) -> DataFrame:
     df = df.withColumn(words, F.sort_array(F.transform(F.split(text, SPACE), lambda w: F.xxhash64(w))))
     last = lambda i: ~F.get(words, i).eqNullSafe(F.get(words, i + 1))
     df = df.withColumn(ends, F.filter(F.sequence(F.lit(0), F.size(words) - 1), last))
-    one = lambda i, j: F.when(F.get(words, i) == none, F.lit(-1).cast("long")).otherwise(sample(F.get(words, i), i - F.coalesce(F.get(ends, j - 1), F.lit(-1)), slots))
-    df = df.withColumn(packed, F.sort_array(F.transform(ends, lambda i, j: F.coalesce(one(i, j), F.lit(-1).cast("long")))))
+    run = lambda i, j: F.struct(F.get(words, i).alias("h"), (i - F.coalesce(F.get(ends, j - 1), F.lit(-1))).alias("x"))
+    counted = F.filter(F.transform(ends, run), lambda w: w["h"] != none)
+    df = df.withColumn(packed, F.sort_array(samples(counted, slots)))
     slot = lambda x: F.shiftright(x, 57)
-    first = F.filter(packed, lambda x, i: (x >= 0) & (slot(x) != F.coalesce(slot(F.get(packed, i - 1)), F.lit(-1))))
+    first = F.filter(packed, lambda x, i: ~slot(x).eqNullSafe(slot(F.get(packed, i - 1))))
     df = df.withColumn(out, F.transform(first, lambda x: F.shiftleft(slot(x), 16).bitwiseOR(x.bitwiseAND(F.lit(0xFFFF))).cast("int")))
     return df.drop(words, ends, packed)
 
