@@ -7,8 +7,8 @@ documents keep the same sample in a slot as often as their weights in it agree b
 sum of minima over the sum of maxima; slots that both leave empty do not count. One sample for each word, not one for
 each word and slot, keeps the work linear in the words.
 
-Words are hashed, sorted and counted within their document by array functions, so that a task's memory is bounded by a
-document, not by the words of all its rows. Documents are dealt by ranges of ids into buckets. A sentinel row at each
+Words are hashed, sorted and counted within their document by array functions, so that no table of words is kept. Samples
+are drawn from exploded counts, in generated code, and only a document's slots are aggregated. Documents are dealt by ranges of ids into buckets. A sentinel row at each
 bucket's end holds the text that follows, so that neighbours meet in a window of one bucket; texts are shuffled once.
 """
 
@@ -40,42 +40,29 @@ def uniform(bits: Column) -> Column:
     return (bits.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) * 2.0**-32
 
 
-def samples(counted: Column, slots: int) -> Column:
-    """For each struct (h, x: count) a slot, ln a in fixed point, and 27 bits of the hash of (word, t), packed from high to low.
-
-    Each step is an array of its own, so that no draw is computed twice.
-    """
-    high = lambda c: F.shiftrightunsigned(c, 32)
-    drawn = F.transform(counted, lambda w: F.struct(w["h"].alias("h"), w["x"].alias("x"), F.xxhash64(w["h"], F.lit(1)).alias("r"), F.xxhash64(w["h"], F.lit(2)).alias("c"), F.xxhash64(w["h"], F.lit(3)).alias("b")))
-    gamma = lambda c: -F.log(uniform(c) * uniform(high(c)))
-    spread = F.transform(drawn, lambda w: F.struct(w["h"].alias("h"), F.log(w["x"].cast("double")).alias("x"), gamma(w["r"]).alias("r"), F.log(gamma(w["c"])).alias("c"), uniform(high(w["b"])).alias("b"), F.pmod(w["b"].bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(slots)).alias("slot")))
-    placed = F.transform(spread, lambda w: F.struct(w["h"].alias("h"), w["r"].alias("r"), w["c"].alias("c"), w["b"].alias("b"), w["slot"].alias("slot"), F.floor(w["x"] / w["r"] + w["b"]).alias("t")))
-
-    def pack(w: Column) -> Column:
-        log_a = w["c"] - w["r"] * (w["t"] - w["b"] + 1)
-        fixed = F.greatest(F.lit(0.0), F.least(F.lit(2.0**30 - 1), (log_a + 128) * 2.0**22)).cast("long")
-        return F.shiftleft(w["slot"], 57).bitwiseOR(F.shiftleft(fixed, 27)).bitwiseOR(F.xxhash64(w["h"], w["t"]).bitwiseAND(F.lit((1 << 27) - 1)))
-
-    return F.transform(placed, pack)
-
-
-def with_slots(df: DataFrame, text: str, out: str, slots: int) -> DataFrame:
-    """Adds ``out``: the filled slots of a text in order, each as slot * 2^16 + 16 bits of its sample.
+def word_counts(df: DataFrame, text: str, out: str, which: int) -> DataFrame:
+    """Adds ``out``: array of (which, h, x), the hash and the count of each distinct word of a text.
 
     Columns are added one at a time: each array is used several times, which keeps it from being computed as often.
     """
     none = F.xxhash64(F.lit(""))  # of the empty strings that splitting leaves at the ends
-    words, ends, packed = f"{out}_words", f"{out}_ends", f"{out}_packed"
+    words, ends = f"{out}_words", f"{out}_ends"
     df = df.withColumn(words, F.sort_array(F.transform(F.split(text, SPACE), lambda w: F.xxhash64(w))))
-    last = lambda i: ~F.get(words, i).eqNullSafe(F.get(words, i + 1))
-    df = df.withColumn(ends, F.filter(F.sequence(F.lit(0), F.size(words) - 1), last))
-    run = lambda i, j: F.struct(F.get(words, i).alias("h"), (i - F.coalesce(F.get(ends, j - 1), F.lit(-1))).alias("x"))
-    counted = F.filter(F.transform(ends, run), lambda w: w["h"] != none)
-    df = df.withColumn(packed, F.sort_array(samples(counted, slots)))
-    slot = lambda x: F.shiftright(x, 57)
-    first = F.filter(packed, lambda x, i: ~slot(x).eqNullSafe(slot(F.get(packed, i - 1))))
-    df = df.withColumn(out, F.transform(first, lambda x: F.shiftleft(slot(x), 16).bitwiseOR(x.bitwiseAND(F.lit(0xFFFF))).cast("int")))
-    return df.drop(words, ends, packed)
+    df = df.withColumn(ends, F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ~F.get(words, i).eqNullSafe(F.get(words, i + 1))))
+    run = lambda i, j: F.struct(F.lit(which).alias("which"), F.get(words, i).alias("h"), (i - F.coalesce(F.get(ends, j - 1), F.lit(-1))).cast("long").alias("x"))
+    return df.withColumn(out, F.filter(F.transform(ends, run), lambda w: w["h"] != none)).drop(words, ends)
+
+
+def sampled(counts: DataFrame, slots: int) -> DataFrame:
+    """Adds ``slot`` and ``sample``: ln a in fixed point above 27 bits of the hash of (word, t). Each draw is a column."""
+    high = lambda c: F.shiftrightunsigned(c, 32)
+    gamma = lambda c: -F.log(uniform(F.col(c)) * uniform(high(F.col(c))))
+    drawn = counts.select("*", *(F.xxhash64("h", F.lit(i)).alias(f"k{i}") for i in (1, 2, 3)))
+    drawn = drawn.select("*", gamma("k1").alias("r"), F.log(gamma("k2")).alias("c"), uniform(high(F.col("k3"))).alias("b"), F.pmod(F.col("k3").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(slots)).alias("slot"))
+    drawn = drawn.withColumn("t", F.floor(F.log(F.col("x").cast("double")) / F.col("r") + F.col("b")))
+    log_a = F.col("c") - F.col("r") * (F.col("t") - F.col("b") + 1)
+    fixed = F.greatest(F.lit(0.0), F.least(F.lit(2.0**30 - 1), (log_a + 128) * 2.0**22)).cast("long")
+    return drawn.withColumn("sample", F.shiftleft(fixed, 27).bitwiseOR(F.xxhash64("h", "t").bitwiseAND(F.lit((1 << 27) - 1)))).drop("k1", "k2", "k3", "r", "c", "b", "t")
 
 
 def likeness(x: str, y: str) -> Column:
@@ -124,8 +111,21 @@ def fingerprint_documents(df: DataFrame, *, slots: int = 64, id_col: str = "doc_
     own = placed.where("next_bucket is null").withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("after", F.lit(1), cut))
-    own = own.select("bucket", "seq", "doc_id", "n_chars", "text", edited.alias("edited"), F.col("into")).withColumn("sha", F.sha2("edited", 256))
-    prints = with_slots(with_slots(own, "text", "a", slots), "edited", "b", slots).drop("text", "edited")
+    own = own.select("bucket", "seq", "doc_id", "n_chars", "text", edited.alias("edited"), "into").withColumn("sha", F.sha2("edited", 256))
+    own = word_counts(word_counts(own, "text", "x", 0), "edited", "y", 1)
+    # what else a row returns travels as longs in elements of a third kind, numbered by x
+    quarter = lambda i: F.conv(F.substring("sha", 1 + 16 * i, 16), 16, -10).cast("long")
+    extra = F.array(*(F.struct(F.lit(2).alias("which"), v.cast("long").alias("h"), F.lit(i).cast("long").alias("x")) for i, v in enumerate((F.col("doc_id"), F.col("n_chars"), F.col("into"), *map(quarter, range(4))))))
+    # outer: a filter on the arrays' sizes would be pushed down and compute them again for each element
+    long = own.select("bucket", "seq", F.inline_outer(F.concat("x", "y", extra)))
+    words = sampled(long, slots)
+    third = F.col("which") == 2
+    kept = words.groupBy("bucket", "seq", "which", F.when(third, F.col("x")).otherwise(F.col("slot")).alias("slot")).agg(F.min(F.when(third, F.col("h")).otherwise(F.col("sample"))).alias("sample"))
+    value = F.shiftleft(F.col("slot"), 16).bitwiseOR(F.col("sample").bitwiseAND(F.lit(0xFFFF))).cast("int")
+    side = lambda i: F.sort_array(F.collect_list(F.when(F.col("which") == i, value)))
+    told = lambda i: F.max(F.when(third & (F.col("slot") == i), F.col("sample")))
+    prints = kept.groupBy("bucket", "seq").agg(told(0).alias("doc_id"), told(1).alias("n_chars"), told(2).cast("int").alias("into"), *(told(3 + i).alias(f"s{i}") for i in range(4)), side(0).alias("a"), side(1).alias("b"))
+    prints = prints.withColumn("sha", F.lower(F.concat(*(F.lpad(F.hex(f"s{i}"), 16, "0") for i in range(4))))).drop("s0", "s1", "s2", "s3")
     prints = stored(prints, "fingerprints")
     mine = prints.withColumn("to_bucket", F.coalesce("into", "bucket")).withColumn("to_seq", F.when(F.col("into").isNull(), F.col("seq") + 1).otherwise(1))
     after = prints.select(F.col("bucket").alias("to_bucket"), F.col("seq").alias("to_seq"), F.col("a").alias("c"))
