@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 
 def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file that holds one JSON array; no rows where the path is absent."""
+    """A file that holds one JSON array, with or without a byte order mark; no rows where the path is absent."""
     try:
-        return spark.read.schema(schema).option("multiLine", True).option("encoding", "UTF-8").json(path)
+        return spark.read.schema(schema).option("multiLine", True).json(path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)
