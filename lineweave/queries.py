@@ -625,3 +625,97 @@ def candidate_fields_union_dedup(spark, d):
     plain = lines.where(F.col("text").rlike(r"^[0-9]{1,3}(,[0-9]{3})+$")).select("doc_id", "line_idx", F.lit("amount").alias("label"), F.col("text").alias("value"), F.lit(0.55).alias("confidence"))
     order = Window.partitionBy("doc_id", T.for_compare(F.col("value"))).orderBy(F.desc("confidence"), "line_idx")
     return labelled.unionByName(plain).withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+
+
+# ---- bank slips, headers, free-form rows, scores ----
+_SLIP = "select o_orderkey as k, o_custkey as c, cast(floor(o_totalprice) as bigint) as total, cast(cast(o_orderdate as date) as string) as day from {orders}"
+
+
+def slip_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A slip for each order: bank, kind, date, amount (every fourth on the next line), balance, masked account."""
+    s = spark.sql(_SLIP, orders=read(spark, d, "orders"))
+    k = F.col("k")
+    fmt = lambda c: F.format_number(c, 0)
+    bank = F.element_at(F.array(*map(F.lit, ("국민은행", "신한은행", "우리은행", "어떤곳"))), (k % 4 + 1).cast("int"))
+    amount = F.when(k % 4 == 3, F.lit("거래금액")).otherwise(F.concat(F.lit("거래금액 "), fmt(F.col("total"))))
+    lines = F.array(bank, F.when(k % 2 == 0, "출금 내역").otherwise("이체 내역"), F.concat(F.lit("일시 "), F.col("day")), amount, F.when(k % 4 == 3, fmt(F.col("total"))).otherwise("메모"), F.concat(F.lit("거래후 잔액 "), fmt(F.col("total") * 3)), F.concat(F.lit("계좌번호 123-"), F.when(k % 5 == 0, "45-67890").otherwise("**-67890")))
+    return s.select(F.concat(F.lit("S"), k.cast("string")).alias("doc_id"), F.posexplode(lines).alias("line_idx", "text"))
+
+
+@query("select 'S' || cast(o_orderkey as string) as doc_id, case o_orderkey % 4 when 0 then '국민은행' when 1 then '신한은행' when 2 then '우리은행' end as bank_name, case when o_orderkey % 2 = 0 then 'withdraw' else 'transfer' end as transaction_type, cast(cast(o_orderdate as date) as string) as transaction_at, cast(floor(o_totalprice) as bigint) as amount, cast(floor(o_totalprice) as bigint) * 3 as balance_after, case when o_orderkey % 5 = 0 then null else '123-**-67890' end as account_masked, case when o_orderkey % 4 = 3 then 'no_bank' else '' end as reasons from orders")
+def finance_fields(spark, d):
+    from lineweave.operators import finance
+
+    return finance.slip_fields(slip_lines(spark, d))
+
+
+def headed_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The derived lines with a header row of three words at y = 170."""
+    lines = lines_of(spark, d)
+    words = F.array(*(F.struct(F.lit(t).alias("text"), F.lit(x).alias("x"), F.lit(i).alias("i")) for i, (t, x) in enumerate((("품 명", 40.0), ("수량", 420.0), ("금액", 620.0)))))
+    heads = lines.select("doc_id").distinct().select("doc_id", F.explode(words).alias("h"))
+    made = heads.select("doc_id", (1000 + F.col("h.i")).cast("int").alias("line_idx"), F.col("h.x").alias("x"), F.lit(170.0).alias("y"), F.lit(60.0).alias("w"), F.lit(18.0).alias("h"), (F.col("h.x") + 30).alias("cx"), F.lit(179.0).alias("cy"), F.col("h.text").alias("text"), F.lit(0.9).alias("conf"))
+    return lines.unionByName(made)
+
+
+@query(f"with {ROWED} select doc_id, cast(count(*) filter (cy < 179) as int) as row_idx, 5 as score from (select doc_id, row_idx, min(cy) as cy from rowed group by doc_id, row_idx) group by doc_id")
+def header_best_row(spark, d):
+    from lineweave.operators import headers
+
+    clustered = rows.cluster_rows(rows.confident(headed_lines(spark, d)))
+    return headers.best_header_row(clustered, _KEYS)
+
+
+@query("select 'R' || cast(o_orderkey as string) as doc_id, unnest(['itemName', 'quantity', 'amount']) as key, unnest([0.0, 260.0, 550.0]::double[]) as x_start, unnest([260.0, 550.0, 1e9]::double[]) as x_end from orders")
+def header_boundaries(spark, d):
+    from lineweave.operators import headers
+
+    heads = headed_lines(spark, d).where("line_idx >= 1000").withColumn("key", headers.header_key(F.col("text")))
+    return tables.boundaries(heads).select("doc_id", "key", "x_start", "x_end")
+
+
+@query(f"with {OK}, marked as (select *, case when cx - lag(cx) over (partition by doc_id order by cx, line_idx) > 60 then 1 else 0 end as fresh from ok) select doc_id, line_idx, cast(sum(fresh) over (partition by doc_id order by cx, line_idx rows unbounded preceding) as int) as band from marked")
+def x_cluster_bands(spark, d):
+    from lineweave.operators import headers
+
+    return headers.x_clusters(rows.confident(lines_of(spark, d)), 60.0).select("doc_id", "line_idx", "band")
+
+
+@query(f"with {TEXTS} select doc_id, row_idx, regexp_extract(row_text, '^([a-z ]+?) ([0-9]+) ([0-9,]+)$', 1) as item_name, regexp_extract(row_text, '^([a-z ]+?) ([0-9]+) ([0-9,]+)$', 2) as quantity, regexp_extract(row_text, '^([a-z ]+?) ([0-9]+) ([0-9,]+)$', 3) as amount from texts where regexp_matches(row_text, '^([a-z ]+?) ([0-9]+) ([0-9,]+)$')")
+def item_from_row_text(spark, d):
+    from lineweave.operators import headers
+
+    return headers.parse_row_text(rows.row_texts(clustered_of(spark, d)))
+
+
+@query(f"with {LINES}, tokens as (select unnest(regexp_split_to_array(trim(text), '\\s+')) as t from lines) select class, count(*) as n, count(distinct t) as n_distinct from (select t, case when not regexp_matches(t, '[0-9]') then null when regexp_matches(t, '^(19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}$') then 'date' when regexp_matches(t, '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{5}}$') then 'biz_number' when regexp_matches(t, '^[0-9]{{1,3}}(,[0-9]{{3}})+$') then 'money' when regexp_matches(t, '[A-Za-z#]') then 'code' when length(t) <= 4 and regexp_matches(t, '^[0-9]+$') then 'quantity' else 'digits' end as class from tokens) where class is not null group by class")
+def token_class_counts(spark, d):
+    from lineweave.operators import headers
+
+    tokens = lines_of(spark, d).select(F.explode(F.split(F.trim("text"), r"\s+")).alias("t")).select("t", headers.token_class(F.col("t")).alias("class"))
+    return tokens.where("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("t").alias("n_distinct"))
+
+
+@query(f"with {LINES} select doc_id, min(x) as x, min(y) as y, max(x + w) - min(x) as w, max(y + h) - min(y) as h from lines group by doc_id")
+def box_union(spark, d):
+    from lineweave.operators import headers
+
+    return headers.box_union(lines_of(spark, d))
+
+
+@query(f"with {LINES}, p as (select *, (y + h / 2) / max(y + h) over (partition by doc_id) as r from lines) select doc_id, count(*) as n_lines, count(*) filter (r < 0.3) as upper, count(*) filter (r >= 0.3 and r < 0.7) as middle, count(*) filter (r >= 0.7) as lower from p group by doc_id")
+def snapshot_summary(spark, d):
+    from lineweave.operators import headers
+
+    return headers.snapshot_summary(lines_of(spark, d)).drop("avg_conf")
+
+
+@query("select c_custkey as k, round_even(8 * (3 + cast(c_custkey % 2 as int)) + case when c_custkey % 3 = 0 then 12 else 0 end + 8 * (1 - (c_custkey % 10) / 10.0), 4) as address, round_even(22 * (case when c_custkey % 2 = 0 then 4 else 0 end) / 4.0 + 8 * (1 - (c_custkey % 10) / 10.0) + case when c_custkey % 2 = 0 then 14 else 0 end - case when c_custkey % 2 = 1 then 12 else 0 end, 4) as company from customer")
+def address_company_scores(spark, d):
+    from lineweave.functions import scores
+
+    k = F.col("c_custkey")
+    y = (k % 10) / 10.0
+    street = F.when(k % 2 == 1, F.lit("서울시 강남구 역삼동 중앙로 12")).otherwise(F.lit("부산시 남구 수영로 77"))
+    name = F.when(k % 2 == 0, F.lit("한빛상사")).otherwise(F.lit("ab12"))
+    return read(spark, d, "customer").select(k.alias("k"), scores.address_score(street, k % 3 == 0, y).alias("address"), scores.company_score(name, y).alias("company"))
