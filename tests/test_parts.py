@@ -141,7 +141,7 @@ def test_corrections(spark):
     assert log.corrections(e).count() == 1
 
 
-@pytest.mark.parametrize("gone", [["lineweave.llm"], ["corpus_pipeline"]])
+@pytest.mark.parametrize("gone", [["lineweave.llm.queries"], ["corpus_pipeline"]])
 def test_entry_without_the_subpackage(gone):
     code = f"""
 import importlib.util as u
