@@ -98,3 +98,14 @@ def drop_reasons(rows: DataFrame, reasons: dict[str, Column], preview: str) -> D
 def first_tier(models: DataFrame) -> DataFrame:
     """All rows of the lowest tier of each document, ties kept."""
     return models.withColumn("rk", F.rank().over(Window.partitionBy("doc_id").orderBy("tier"))).where("rk = 1").drop("rk")
+
+
+#: Preprocessing variants that each quality tag asks for, in order.
+VARIANTS = {"low_contrast": ("clahe",), "skewed": ("deskew",), "blur": ("sharpen",), "small_text": ("upscale",)}
+
+
+def candidate_variants(samples: DataFrame, tags: str = "quality_tags", kind: str = "doc_type") -> DataFrame:
+    """Adds ``variants``: those of the tags, in order and without repeats; invoices also try a table crop."""
+    each = [F.when(F.array_contains(tags, tag), F.array(*map(F.lit, names))) for tag, names in VARIANTS.items()]
+    each.append(F.when(F.col(kind) == "invoice_statement", F.array(F.lit("table_crop"))))
+    return samples.withColumn("variants", F.array_distinct(F.flatten(F.array_compact(F.array(*each)))))

@@ -40,3 +40,21 @@ def patched(old: DataFrame, patch: DataFrame, key: str) -> DataFrame:
 
 def newest(history: DataFrame, n: int) -> DataFrame:
     return history.orderBy(F.desc("created_at"), F.desc("job_id")).limit(n)
+
+
+def upsert_named(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Templates: a new one replaces the stored one with its id, or else with its name, whose id it takes; others are added.
+
+    Both have id, name and body; ids and names are unique on each side.
+    """
+    by_id = new.join(old.select("id"), "id", "left_semi").withColumn("old_id", F.col("id"))
+    rest = new.join(old.select("id"), "id", "left_anti")
+    named = rest.join(old.select(F.col("id").alias("old_id"), "name"), "name", "left")
+    fresh = by_id.unionByName(named.select(*by_id.columns))
+    kept = old.join(fresh.select(F.col("old_id").alias("id")), "id", "left_anti")
+    return kept.unionByName(fresh.select(F.coalesce("old_id", "id").alias("id"), "name", "body"))
+
+
+def capped(history: DataFrame, new: DataFrame, n: int) -> DataFrame:
+    """History with ``new`` in front, the newest ``n`` kept."""
+    return newest(history.unionByName(new.select(*history.columns)), n)

@@ -719,3 +719,47 @@ def address_company_scores(spark, d):
     street = F.when(k % 2 == 1, F.lit("서울시 강남구 역삼동 중앙로 12")).otherwise(F.lit("부산시 남구 수영로 77"))
     name = F.when(k % 2 == 0, F.lit("한빛상사")).otherwise(F.lit("ab12"))
     return read(spark, d, "customer").select(k.alias("k"), scores.address_score(street, k % 3 == 0, y).alias("address"), scores.company_score(name, y).alias("company"))
+
+
+# ---- label windows, triples, templates, variants ----
+@query(
+    f"with {TOKENS}, labelled as (select doc_id, row_idx as label_row, case when row_text like '%공급가액%' then 'supply' when row_text like '%부가세%' then 'tax' when row_text like '%합계%' then 'total' end as role from texts), "
+    "near_by as (select doc_id, role, value, cast(abs(row_idx - label_row) as int) as distance, cast(38 + case when row_idx = label_row then 22 when abs(row_idx - label_row) = 1 then 16 when abs(row_idx - label_row) <= 3 then 10 else 4 end as int) as score from labelled join amounts using (doc_id) where role is not null and abs(row_idx - label_row) <= 18) "
+    "select doc_id, role, value, distance, score from (select *, row_number() over (partition by doc_id, role order by score desc, distance, value desc) as rn from near_by) where rn = 1"
+)
+def label_window_amounts(spark, d):
+    c = clustered_of(spark, d)
+    v = c.select("doc_id", "row_idx", F.explode(T.best_tokens(F.col("text"))).alias("t")).select("doc_id", "row_idx", "t.value")
+    return parties.label_windows(rows.row_texts(c), v, {"supply": "공급가액", "tax": "부가세", "total": "합계"})
+
+
+@query(
+    f"with {TOKENS}, v as (select doc_id, row_idx, value from amounts), p as (select distinct a.doc_id, a.value as supply, b.value as tax, abs(a.row_idx - b.row_idx) as rows_apart from v a join v b on a.doc_id = b.doc_id and cast(b.value as double) / a.value between 0.05 and 0.15 and abs(a.row_idx - b.row_idx) <= 3), "
+    "t as (select p.doc_id, supply, tax, rows_apart, max(v.value) as total from p left join v on v.doc_id = p.doc_id and v.value > supply and abs(supply + tax - v.value) <= greatest(2500, floor(greatest(supply + tax, v.value) * 0.001)) group by p.doc_id, supply, tax, rows_apart), "
+    "s as (select *, 40 + case when total is not null then 30 else 0 end + case when abs(cast(tax as double) / supply - 0.1) <= 0.001 then 10 else 0 end + 12 as pair_score, cast(40 + case when total is not null then 30 else 0 end + case when abs(cast(tax as double) / supply - 0.1) <= 0.001 then 12 else 0 end + case when rows_apart <= 1 then 8 else 0 end as int) as score from t) "
+    "select doc_id, supply, tax, coalesce(total, supply + tax) as total, score from (select *, row_number() over (partition by doc_id order by pair_score desc, supply + tax desc, rows_apart, supply desc) as rn from s) where rn = 1 and score >= 78"
+)
+def summary_triple_top1(spark, d):
+    c = clustered_of(spark, d)
+    v = c.select("doc_id", "row_idx", "line_idx", F.explode(T.best_tokens(F.col("text"))).alias("t")).select("doc_id", "row_idx", "t.value", F.col("line_idx").alias("ordinal"))
+    return parties.summary_triples(v)
+
+
+@query("select p_partkey as id, p_name || cast(p_partkey as string) as name, case when p_partkey % 4 = 0 then 'by id' when p_partkey % 4 = 1 then 'by name' else 'old' end as body from part union all select p_partkey + 1000000, 'new' || cast(p_partkey as string), 'added' from part where p_partkey % 4 = 2")
+def template_upsert(spark, d):
+    p = read(spark, d, "part")
+    k = F.col("p_partkey")
+    name = F.concat("p_name", k.cast("string"))
+    old = p.select(k.alias("id"), name.alias("name"), F.lit("old").alias("body"))
+    new = p.where(k % 4 == 0).select(k.alias("id"), name.alias("name"), F.lit("by id").alias("body"))
+    new = new.unionByName(p.where(k % 4 == 1).select((k + 2_000_000).alias("id"), name.alias("name"), F.lit("by name").alias("body")))
+    new = new.unionByName(p.where(k % 4 == 2).select((k + 1_000_000).alias("id"), F.concat(F.lit("new"), k.cast("string")).alias("name"), F.lit("added").alias("body")))
+    return history.upsert_named(old, new)
+
+
+@query("select o_orderkey as k, concat_ws(',', case when o_orderkey % 2 = 0 then 'clahe' end, case when o_orderkey % 3 = 0 then 'deskew' end, case when o_orderstatus = 'F' then 'table_crop' end) as variants from orders")
+def candidate_variants(spark, d):
+    o, k = read(spark, d, "orders"), F.col("o_orderkey")
+    tags = F.array_compact(F.array(F.when(k % 3 == 0, "skewed"), F.when(k % 2 == 0, "low_contrast")))
+    samples = o.select(k.alias("k"), tags.alias("quality_tags"), F.when(F.col("o_orderstatus") == "F", "invoice_statement").otherwise("receipt_pos").alias("doc_type"))
+    return evaluate.candidate_variants(samples).select("k", F.array_join("variants", ",").alias("variants"))
