@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.llm._shared import over_arrow, stored, text_of
@@ -199,8 +199,10 @@ def across(stars: DataFrame, df: DataFrame, words: int, percent: int) -> DataFra
     so they link just if s >= (p (l + a1 + a2) - 100 (l - d1 - d2)) / (100 + p). A member outside the leader's component
     has p (l + a1) > 100 (l - d1). For it this asks for s >= (p (l + a1) - 100 (l - d1)) / 100 whatever the other is,
     and for the other for s > (p a2 + 100 d2) / (100 + p). In one order of all differences, additions first, lists of
-    e1 and e2 that share s have an element in common among their first e1 - s + 1 and e2 - s + 1, so these are joined
-    and the few pairs that meet are counted out.
+    e1 and e2 that share s have their first common element among their first e1 - s + 1 and e2 - s + 1. That is an
+    addition if they share any, so prefixes meet on additions. If they share none, s is at most d2, which asks for
+    p (l + a1) - 100 (l - d1) <= p (d2 - a2): only members smaller than the leader meet on deletions. The few pairs that
+    meet are counted out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,16 +219,24 @@ def across(stars: DataFrame, df: DataFrame, words: int, percent: int) -> DataFra
     told = over_arrow(side_by_side(pairs, df), run, "a long, b long, l long, d long, m long, e array<long>")
     told = stored(told.join(stars.select(F.col("leader").alias("a"), F.col("member").alias("b"), "inside", "outside"), ["a", "b"]), "differences")
     p = percent
-    need = F.greatest(F.lit(1), F.ceil((p * (F.col("l") + F.col("m")) - 100 * (F.col("l") - F.col("d"))) / 100))
+    over = p * (F.col("l") + F.col("m")) - 100 * (F.col("l") - F.col("d"))
+    need = F.greatest(F.lit(1), F.ceil(over / 100))
     other = F.floor((p * F.col("m") + 100 * F.col("d")) / (100 + p)) + 1
-    sizes = ["a", "b", "inside", "outside", "l", "d", "m"]
-    prefix = lambda n: F.explode(F.slice("e", F.lit(1), F.greatest(F.lit(0), F.size("e") - n + 1).cast("int"))).alias("at")
-    x = told.where("outside").select(*(F.col(c).alias(f"x_{c}") for c in sizes), prefix(need))
-    y = told.select(*(F.col(c).alias(f"y_{c}") for c in sizes), prefix(other))
-    most = F.least("x_d", "y_d") + F.least("x_m", "y_m")
-    enough = (100 + p) * most >= p * (F.col("x_l") + F.col("x_m") + F.col("y_m")) - 100 * (F.col("x_l") - F.col("x_d") - F.col("y_d"))
-    met = x.join(y, (F.col("x_a") == F.col("y_a")) & (x["at"] == y["at"]) & (F.col("x_inside") != F.col("y_inside")) & (~F.col("y_outside") | (F.col("x_b") < F.col("y_b"))) & enough)
-    met = met.select(F.col("x_a").alias("a"), "x_b", "y_b").distinct()
+    sizes = [*(F.col(c) for c in ("a", "b", "inside", "outside", "l", "d", "m")), over.alias("over")]
+    head = lambda n, kind: F.greatest(F.lit(0), F.least(n, kind)).cast("int")
+    added = lambda n: F.explode(F.slice("e", F.lit(1), head(F.col("d") + F.col("m") - n + 1, F.col("m")))).alias("at")
+    dropped = lambda n: F.explode(F.slice("e", (F.col("m") + 1).cast("int"), head(F.col("d") - n + 1, F.col("d")))).alias("at")
+
+    def meet(prefix, more: Column) -> DataFrame:
+        x = told.where("outside").select(*sizes, prefix(need)).select(*(F.col(c).alias(f"x_{c}") for c in ("a", "b", "inside", "l", "d", "m", "over", "at")))
+        y = told.where(more).select(*sizes, prefix(other)).select(*(F.col(c).alias(f"y_{c}") for c in ("a", "b", "inside", "outside", "d", "m", "at")))
+        most = F.least("x_d", "y_d") + F.least("x_m", "y_m")
+        enough = (100 + p) * most >= F.col("x_over") + p * F.col("y_m") + 100 * F.col("y_d")
+        apart = (F.col("x_inside") != F.col("y_inside")) & (~F.col("y_outside") | (F.col("x_b") < F.col("y_b")))
+        small = (F.col("x_over") <= p * (F.col("y_d") - F.col("y_m"))) if prefix is dropped else F.lit(True)
+        return x.join(y, (F.col("x_a") == F.col("y_a")) & (F.col("x_at") == F.col("y_at")) & apart & enough & small).select(F.col("x_a").alias("a"), "x_b", "y_b")
+
+    met = meet(added, F.lit(True)).union(meet(dropped, F.col("d") > F.col("m"))).distinct()
     full = lambda c: told.select("a", F.col("b").alias(f"{c}_b"), F.col("l").alias(f"{c}_l"), F.col("d").alias(f"{c}_d"), F.col("m").alias(f"{c}_m"), F.col("e").alias(f"{c}_e"))
     both = met.join(full("x"), ["a", "x_b"]).join(full("y"), ["a", "y_b"])
     s = F.size(F.array_intersect("x_e", "y_e"))
