@@ -34,10 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks of lines that an earlier one has; those of which nothing is left go."""
-    made = line_dedup.dedup_lines(docs).select("doc_id", "key", "kept", "n_removed")
-    cut = _of_row(docs, made, ["kept", "n_removed"], "left")
-    cut = cut.where((F.col("n_removed") == 0) | (F.trim("kept") != "")).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    return line_dedup.without_common_lines(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

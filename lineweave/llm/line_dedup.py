@@ -88,17 +88,8 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     return over_arrow(docs, run, LINES)
 
 
-def dedup_lines(df: DataFrame, *, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Delete from each document the blocks of lines that it shares with an earlier one.
-
-    Returns ``doc_id``, ``key`` (hash of the input text), ``n_lines``, ``n_removed``, ``kept`` (the text left) and
-    ``kept_sha256``. Earlier means of smaller id. What is common is judged on the input, so the order of work does not
-    matter. Blocks of fewer than ``min_words`` words stay.
-
-    Null texts count as empty, with one empty line, and stay empty. Null ids come before all others. Rows with equal id
-    and text are one document and have one result each; rows with equal id and different texts are ordered by ``key``.
-    An empty table gives none. Other columns are not read.
-    """
+def common_lines(df: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(b, b_key, gone): positions of the lines that each later document loses; documents that lose none are absent."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).alias("text"))
     lines = stored(line_hashes(docs), "lines")
     rare = lines.select("doc_id", "key", F.explode(F.arrays_zip("hashes", "words")).alias("line")).where(F.col("line.words") >= min_words)
@@ -118,7 +109,22 @@ def dedup_lines(df: DataFrame, *, min_words: int = 5, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["b", "b_key", "gone"])
 
     both = beside(beside(pairs, "a"), "b").select("b", "b_key", "a_h", "b_h", "b_w")
-    gone = over_arrow(both, align, "b long, b_key long, gone array<int>").groupBy("b", "b_key").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    return over_arrow(both, align, "b long, b_key long, gone array<int>").groupBy("b", "b_key").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+
+
+def dedup_lines(df: DataFrame, *, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Delete from each document the blocks of lines that it shares with an earlier one.
+
+    Returns ``doc_id``, ``key`` (hash of the input text), ``n_lines``, ``n_removed``, ``kept`` (the text left) and
+    ``kept_sha256``. Earlier means of smaller id. What is common is judged on the input, so the order of work does not
+    matter. Blocks of fewer than ``min_words`` words stay.
+
+    Null texts count as empty, with one empty line, and stay empty. Null ids come before all others. Rows with equal id
+    and text are one document and have one result each; rows with equal id and different texts are ordered by ``key``.
+    An empty table gives none. Other columns are not read.
+    """
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).alias("text"))
+    gone = common_lines(df, min_words, id_col, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,3 +139,28 @@ def dedup_lines(df: DataFrame, *, min_words: int = 5, id_col: str = "doc_id", te
 
     left = docs.join(gone, (docs.key == gone.b_key) & docs.doc_id.eqNullSafe(gone.b), "left").select("doc_id", "key", "text", "gone")
     return over_arrow(left, cut, "doc_id long, key long, n_lines long, n_removed long, kept string, kept_sha256 string")
+
+
+def without_common_lines(df: DataFrame, *, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
+    """``df`` with its columns, texts cut as by ``dedup_lines`` and their lengths renewed; documents that lose all their words go.
+
+    Documents that lose nothing stay as they are, null texts included. Texts are shuffled once.
+    """
+    gone = common_lines(df, min_words, id_col, text_col)
+    joined = df.join(gone, (F.xxhash64(text_of(text_col)) == gone.b_key) & F.col(id_col).cast("long").eqNullSafe(gone.b), "left").select(*df.columns, F.col("gone").alias("__gone"))
+    at = df.columns.index(text_col)
+    size_at = df.columns.index(n_chars_col) if n_chars_col in df.columns else None
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            gone = columns.pop().to_pylist()
+            texts = [t if not g else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in s) for t, g in zip(columns[at].to_pylist(), gone) for s in (set(g or ()),)]
+            columns[at] = pa.array(texts, columns[at].type)
+            if size_at is not None:
+                sizes = [len(t) if g else n for t, g, n in zip(texts, gone, columns[size_at].to_pylist())]
+                columns[size_at] = pa.array(sizes, columns[size_at].type)
+            keep = [not g or bool(t.strip()) for t, g in zip(texts, gone)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+
+    return over_arrow(joined, cut, df.schema)
