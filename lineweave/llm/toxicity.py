@@ -2,8 +2,9 @@
 
 Features are densities of lexicon words, their distance to second-person words, and rates of capitals, punctuation and
 obfuscated words. Two lexicons feed them: the fixed insults below, and word beginnings whose documents are labelled
-toxic far more often than others, counted over all training rows. Trees learn from at most ``FIT_ROWS`` labelled rows
-(a uniform sample by hash), the calibration from as many others.
+toxic far more often than others. The lexicon is learned from at most ``LEXICON_FIT_ROWS`` labelled rows, the trees from at most
+``FIT_ROWS``, the calibration from as many others (uniform samples by hash), so that labels can be broadcast and texts are
+never shuffled.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from lineweave.llm._shared import PerWorker, over_arrow, stored, text_of
 
 FIT_ROWS = 20_000
+#: Labelled rows from which the lexicon is learned at most; their labels (12 bytes each) are broadcast to the texts.
+LEXICON_FIT_ROWS = 50_000
 #: Entries of the learned lexicon at most; it is broadcast.
 LEXICON_ROWS = 5_000
 #: Lengths of word beginnings that the lexicon counts; whole words count up to the last length.
@@ -173,13 +176,13 @@ def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     return over_arrow(docs.select("doc_id", "text", "key"), run, f"doc_id {kind}, key long, part int, " + ", ".join(f"{n} double" for n in NAMES))
 
 
-def bounded(labelled: DataFrame, rows: int) -> DataFrame:
-    """At most about ``rows`` rows, uniform by a hash of id and text."""
-    n = labelled.count()
-    return labelled if n <= rows else labelled.where(F.pmod(F.xxhash64("doc_id", "key", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * rows / n))
+def bounded(labels: DataFrame, rows: int) -> DataFrame:
+    """At most about ``rows`` rows, uniform by a hash of the id."""
+    n = labels.count()
+    return labels if n <= rows else labels.where(F.pmod(F.xxhash64("l_id", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * rows / n))
 
 
-def toxicity(df: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
+def toxicity(df: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, lexicon_fit_rows: int = LEXICON_FIT_ROWS) -> DataFrame:
     """Score every whole text of ``df``.
 
     ``labels`` has ``doc_id`` and ``toxic`` (0 or 1); only rows whose crc32(doc_id as text) mod 4 is not 2 teach.
@@ -192,26 +195,30 @@ def toxicity(df: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id_col
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).alias("text"))
     known = labels.select(F.col("doc_id").alias("l_id"), F.col("toxic").cast("int").alias("toxic")).where("l_id is not null and toxic in (0, 1)").distinct()
-    teach = known.where(F.pmod(F.crc32(F.col("l_id").cast("string")), F.lit(4)) != 2)
-    lexicon_rows = learned_lexicon(docs.join(teach.where(F.pmod(F.crc32(F.col("l_id").cast("string")), F.lit(4)) != 1), docs.doc_id == teach.l_id).select("text", "toxic"))
+    part_of = F.pmod(F.crc32(F.col("l_id").cast("string")), F.lit(4))
+    teach = stored(known.withColumn("l_part", part_of).where("l_part <> 2"), "labels")
+    own = teach.where("l_part <> 1")
+    lexicon_labels = F.broadcast(bounded(own, lexicon_fit_rows))
+    lexicon_rows = learned_lexicon(docs.join(lexicon_labels, docs.doc_id == lexicon_labels.l_id).select("text", "toxic"))
     lexicon = {r.stem: r.weight for r in lexicon_rows.collect()}
     scored = stored(with_features(docs, lexicon), "features")
-    taught = stored(scored.where("part <> 2").join(teach, scored.doc_id == teach.l_id).drop("l_id").withColumn("label", F.col("toxic").cast("double")), "taught")
-    classes = {r.label: r["count"] for r in taught.groupBy(F.col("part") == 1, "label").count().groupBy("label").agg(F.sum("count").alias("count")).collect()}
+    sampled = F.broadcast(bounded(own, fit_rows).union(bounded(teach.where("l_part = 1"), fit_rows)))
+    taught = stored(scored.join(sampled, scored.doc_id == sampled.l_id).drop("l_id").withColumn("label", F.col("toxic").cast("double")), "taught")
+    classes = {r.label: r["count"] for r in taught.groupBy("label").count().collect()}
     held = F.col("part") == 2
     if len(classes) < 2:
         share = F.lit(classes.get(1.0, 0) / max(1, sum(classes.values())))
         return scored.select("doc_id", "key", held.alias("held_out"), share.alias("score"), (share >= threshold).cast("int").alias("predicted"), share.alias("raw"))
     assemble = VectorAssembler(inputCols=list(NAMES), outputCol="features")
-    trees_on = taught.where("part <> 1") if taught.where("part <> 1").select("label").distinct().count() == 2 else taught
-    sample = assemble.transform(bounded(trees_on, fit_rows)).select("features", "label").coalesce(6)
+    trees_on = taught.where("l_part <> 1") if taught.where("l_part <> 1").select("label").distinct().count() == 2 else taught
+    sample = assemble.transform(trees_on).select("features", "label").coalesce(6)
     trees = GBTClassifier(maxIter=12, maxDepth=3, maxBins=64, stepSize=0.3, seed=11, cacheNodeIds=False).fit(sample)
 
     def raw(x: DataFrame) -> DataFrame:
         return trees.transform(assemble.transform(x)).withColumn("raw", vector_to_array("probability")[1])
 
-    check_on = taught.where("part = 1") if taught.where("part = 1").select("label").distinct().count() == 2 else taught
-    curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(raw(bounded(check_on, fit_rows)).select("raw", "label").coalesce(6))
+    check_on = taught.where("l_part = 1") if taught.where("l_part = 1").select("label").distinct().count() == 2 else taught
+    curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(raw(check_on).select("raw", "label").coalesce(6))
     out = curve.transform(raw(scored).select("doc_id", "key", "part", "raw"))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
     return out.select("doc_id", "key", held.alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "raw")
