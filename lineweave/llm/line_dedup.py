@@ -146,8 +146,8 @@ def without_common_lines(df: DataFrame, *, min_words: int = 5, id_col: str = "do
 
     Documents that lose nothing stay as they are, null texts included. Texts are shuffled once.
     """
-    gone = common_lines(df, min_words, id_col, text_col)
-    joined = df.join(gone, (F.xxhash64(text_of(text_col)) == gone.b_key) & F.col(id_col).cast("long").eqNullSafe(gone.b), "left").select(*df.columns, F.col("gone").alias("__gone"))
+    gone = common_lines(df, min_words, id_col, text_col).toDF("__id", "__key", "__gone")
+    joined = df.join(gone, (F.xxhash64(text_of(text_col)) == F.col("__key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left").select(*df.columns, "__gone")
     at = df.columns.index(text_col)
     size_at = df.columns.index(n_chars_col) if n_chars_col in df.columns else None
 

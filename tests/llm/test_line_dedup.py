@@ -74,3 +74,12 @@ def test_more_than_half_of_difflib():
     b = a[:50] + [900 + i for i in range(30)] + a[60:]
     ours = len(line_dedup.aligned(a, b))
     assert ours >= 0.9 * sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+
+def test_rows_keep_their_columns(spark):
+    line = "one line of seven words in all"
+    rows = [(1, line + "\nown", "x", 5, 1.5), (2, line + "\nother", "y", 9, 2.5), (3, line, "z", 9, 3.5), (4, None, "n", None, None), (None, "free", "f", 4, 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone string, n_chars long, b double")
+    got = line_dedup.without_common_lines(df)
+    assert got.schema.names == df.schema.names
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], (2, "other", "y", 5, 2.5), rows[3], rows[4]], key=str)
