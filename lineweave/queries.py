@@ -15,6 +15,7 @@ from lineweave.functions import text as T
 from lineweave.operators import amounts, classify, evaluate, export, history, parties, restore, rows, tables
 from lineweave.plans import bridge
 from lineweave.sources import json as sources
+from lineweave.sources.shared import stored
 from lineweave.streaming import log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +41,8 @@ def lines_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clustered_of(spark: SparkSession, d: str) -> DataFrame:
-    return rows.cluster_rows(rows.confident(lines_of(spark, d)))
+    """Clustered lines, stored: rows, neighbours and candidates all read them."""
+    return stored(rows.cluster_rows(rows.confident(lines_of(spark, d))), "clustered")
 
 
 def near_of(clustered: DataFrame) -> DataFrame:
@@ -156,7 +158,7 @@ BEST = SCORED + ", best as (select *, case when score <= -30 then 'all_rejected'
 def found_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Candidates of both sources, and those of the first alone."""
     clustered = clustered_of(spark, d)
-    near = near_of(clustered)
+    near = stored(near_of(clustered), "near")
     full = amounts.candidates(clustered, near)
     low = near.where("row_pos >= 0.6")
     block = amounts.candidates(clustered.withColumn("conf", F.col("conf") * 0.9), low, "amount_block")
@@ -165,7 +167,7 @@ def found_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def merged_of(spark: SparkSession, d: str) -> DataFrame:
     found, full = found_of(spark, d)
-    return amounts.merged(found.unionByName(amounts.synthesised(full)))
+    return stored(amounts.merged(found.unionByName(amounts.synthesised(full))), "merged")
 
 
 # ---- lines and rows ----
