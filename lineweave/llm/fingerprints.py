@@ -1,19 +1,21 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions alone.
 
-A document is the multiset of its words. Each distinct word w with count x falls, by its hash, into one of ``slots``
-slots, where gamma-based samples decide: with r, c ~ Gamma(2, 1) and b ~ U(0, 1) drawn from the word's hash,
+A document is the multiset of its words. Each distinct word w with count x is drawn in every one of ``slots`` slots by
+gamma-based samples: with r, c ~ Gamma(2, 1) and b ~ U(0, 1) drawn from the hash of word and slot,
 ``t = floor(ln x / r + b)``, ``ln y = r (t - b)``, ``ln a = ln c - ln y - r``. The slot keeps (w, t) of the least a. Two
-documents keep the same sample in a slot as often as their weights in it agree by generalised Jaccard similarity, the
-sum of minima over the sum of maxima; slots that both leave empty do not count. One sample for each word, not one for
-each word and slot, keeps the work linear in the words.
+documents keep the same sample in a slot with the probability of their generalised Jaccard similarity, the sum of minima
+over the sum of maxima, however skewed their counts are. Texts without words fill no slot.
 
 Words are hashed, sorted and counted within their document by array functions, so that no table of words is kept. Samples
-are drawn from exploded counts, in generated code, and only a document's slots are aggregated. Documents are dealt by ranges of ids into buckets. A sentinel row at each
-bucket's end holds the text that follows, so that neighbours meet in a window of one bucket; texts are shuffled once.
+are drawn from exploded counts, in generated code: a row for each word and lane of slots, an aggregate for each slot of
+the lane. Documents are dealt by ranges of ids into buckets. A sentinel row at each bucket's end holds the text that
+follows, so that neighbours meet in a window of one bucket; texts are shuffled once.
 """
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from lineweave.llm._shared import stored, text_of
 
 #: Buckets: so many quantiles of the ids, each cut into equal steps.
 QUANTILES, STEPS = 64, 32
+#: Slots that one row draws, at most: few enough for compiled code, enough to spare rows.
+LANE = 8
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -53,16 +57,16 @@ def word_counts(df: DataFrame, text: str, out: str, which: int) -> DataFrame:
     return df.withColumn(out, F.filter(F.transform(ends, run), lambda w: w["h"] != none)).drop(words, ends)
 
 
-def sampled(counts: DataFrame, slots: int) -> DataFrame:
-    """Adds ``slot`` and ``sample``: ln a in fixed point above 27 bits of the hash of (word, t). Each draw is a column."""
+def sample(slot: Column) -> Column:
+    """What ``h`` with count e^``ln_x`` draws in a slot: ln a in fixed point above 27 bits of the hash of (word, t)."""
     high = lambda c: F.shiftrightunsigned(c, 32)
-    gamma = lambda c: -F.log(uniform(F.col(c)) * uniform(high(F.col(c))))
-    drawn = counts.select("*", *(F.xxhash64("h", F.lit(i)).alias(f"k{i}") for i in (1, 2, 3)))
-    drawn = drawn.select("*", gamma("k1").alias("r"), F.log(gamma("k2")).alias("c"), uniform(high(F.col("k3"))).alias("b"), F.pmod(F.col("k3").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(slots)).alias("slot"))
-    drawn = drawn.withColumn("t", F.floor(F.log(F.col("x").cast("double")) / F.col("r") + F.col("b")))
-    log_a = F.col("c") - F.col("r") * (F.col("t") - F.col("b") + 1)
+    gamma = lambda c: -F.log(uniform(c) * uniform(high(c)))
+    k1, k2, k3 = (F.xxhash64("h", slot, F.lit(i)) for i in (1, 2, 3))
+    r, c, b = gamma(k1), F.log(gamma(k2)), uniform(high(k3))
+    t = F.floor(F.col("ln_x") / r + b)
+    log_a = c - r * (t - b + 1)
     fixed = F.greatest(F.lit(0.0), F.least(F.lit(2.0**30 - 1), (log_a + 128) * 2.0**22)).cast("long")
-    return drawn.withColumn("sample", F.shiftleft(fixed, 27).bitwiseOR(F.xxhash64("h", "t").bitwiseAND(F.lit((1 << 27) - 1)))).drop("k1", "k2", "k3", "r", "c", "b", "t")
+    return F.shiftleft(fixed, 27).bitwiseOR(F.xxhash64("h", t).bitwiseAND(F.lit((1 << 27) - 1)))
 
 
 def likeness(x: str, y: str) -> Column:
@@ -118,12 +122,14 @@ def fingerprint_documents(df: DataFrame, *, slots: int = 64, id_col: str = "doc_
     extra = F.array(*(F.struct(F.lit(2).alias("which"), v.cast("long").alias("h"), F.lit(i).cast("long").alias("x")) for i, v in enumerate((F.col("doc_id"), F.col("n_chars"), F.col("into"), *map(quarter, range(4))))))
     # outer: a filter on the arrays' sizes would be pushed down and compute them again for each element
     long = own.select("bucket", "seq", F.inline_outer(F.concat("x", "y", extra)))
-    words = sampled(long, slots)
     third = F.col("which") == 2
-    kept = words.groupBy("bucket", "seq", "which", F.when(third, F.col("x")).otherwise(F.col("slot")).alias("slot")).agg(F.min(F.when(third, F.col("h")).otherwise(F.col("sample"))).alias("sample"))
-    value = F.shiftleft(F.col("slot"), 16).bitwiseOR(F.col("sample").bitwiseAND(F.lit(0xFFFF))).cast("int")
-    side = lambda i: F.sort_array(F.collect_list(F.when(F.col("which") == i, value)))
-    told = lambda i: F.max(F.when(third & (F.col("slot") == i), F.col("sample")))
+    lane = gcd(slots, LANE)
+    words = long.withColumn("ln_x", F.log(F.col("x").cast("double"))).withColumn("at", F.explode(F.when(third, F.array(F.col("x").cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(slots // lane - 1)))))
+    at = lambda i: F.col("at") * lane + i
+    kept = words.groupBy("bucket", "seq", "which", "at").agg(F.max(F.when(third, F.col("h"))).alias("told"), *(F.min(sample(at(i))).alias(f"s{i}") for i in range(lane)))
+    values = F.array(*(F.shiftleft(at(i), 16).bitwiseOR(F.col(f"s{i}").bitwiseAND(F.lit(0xFFFF))).cast("int") for i in range(lane)))
+    side = lambda i: F.sort_array(F.flatten(F.collect_list(F.when(F.col("which") == i, values))))
+    told = lambda i: F.max(F.when(third & (F.col("at") == i), F.col("told")))
     prints = kept.groupBy("bucket", "seq").agg(told(0).alias("doc_id"), told(1).alias("n_chars"), told(2).cast("int").alias("into"), *(told(3 + i).alias(f"s{i}") for i in range(4)), side(0).alias("a"), side(1).alias("b"))
     prints = prints.withColumn("sha", F.lower(F.concat(*(F.lpad(F.hex(f"s{i}"), 16, "0") for i in range(4))))).drop("s0", "s1", "s2", "s3")
     prints = stored(prints, "fingerprints")

@@ -57,3 +57,17 @@ def test_edges(spark):
     got = fingerprints.fingerprint_documents(spark.createDataFrame(rows, schema)).collect()
     assert sorted((str(r.doc_id), r.n_chars) for r in got) == [("3", 0), ("3", 3), ("3", 3), ("None", 3), ("None", 3)]
     assert fingerprints.fingerprint_documents(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_skewed_counts(spark):
+    rng = random.Random(8)
+    often = ["the", "of", "and", "a"]
+    rows = [(i, " ".join(["w"] * 1000 + [f"x{i}_{j}" for j in range(100)])) for i in range(40)]
+    rows += [(i, " ".join(rng.choice(often) if rng.random() < 0.7 else f"y{i}_{j}" for j in range(3000))) for i in range(100, 130)]
+    rows += [(i, " ".join(rng.choice("abcdefgh"[: 1 + i % 8]) for _ in range(700))) for i in range(200, 230)]
+    want = expected(rows)
+    got = fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    errors = [e for r in got for e in (r.near_edited - want[r.doc_id][2], r.near_next - want[r.doc_id][3])]
+    assert len(errors) == 200 and max(map(abs, errors)) < 0.27
+    assert abs(sum(errors) / len(errors)) < 0.03
+    assert sum(e * e for e in errors) / len(errors) < 0.08**2
