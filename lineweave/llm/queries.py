@@ -27,7 +27,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+    return line_dedup.dedup_lines(documents(spark, sf_dir), every_block=True).select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

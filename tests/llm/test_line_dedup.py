@@ -83,3 +83,31 @@ def test_rows_keep_their_columns(spark):
     got = line_dedup.without_common_lines(df)
     assert got.schema.names == df.schema.names
     assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], (2, "other", "y", 5, 2.5), rows[3], rows[4]], key=str)
+
+
+def test_every_block(spark):
+    rng = random.Random(3)
+    pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 3, 6, 9]))) for _ in range(60)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.choice([2, 5, 12])))) for i in range(90)]
+    one, two = "the first of two whole lines", "the second of two whole lines"
+    rows += [(100, f"{two}\n{one}"), (101, f"{one}\n{two}"), (102, f"{one}\n{two}")]
+    words = {x: line_dedup.measured(x) for _, t in rows for x in t.split("\n")}
+    want = {}
+    for at, (doc, text) in enumerate(rows):
+        b = text.split("\n")
+        want[doc] = set()
+        for _, earlier in rows[:at]:
+            want[doc] |= set(line_dedup.common_blocks([hash(x) for x in earlier.split("\n")], [hash(x) for x in b], [words[x] for x in b], 5))
+    got = {r.doc_id: r.kept for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), every_block=True).collect()}
+    assert got == {i: "\n".join(x for j, x in enumerate(t.split("\n")) if j not in want[i]) for i, t in rows}
+    assert got[102] == ""
+
+
+def test_short_and_spaceless_lines(spark):
+    short = "\n".join(f"item {i}\n" for i in range(30))
+    tabs = "one\ttwo\tthree\tfour\tfive\tsix"
+    han = "春眠不觉晓处处闻啼鸟"
+    rows = [(i + 10 * j, f"own{i + 10 * j}\n{t}\nend{i + 10 * j}") for j, t in enumerate((short, tabs, han)) for i in (1, 2)] + [(50, "a\nb"), (51, "a\nb")]
+    got = {r.doc_id: r.kept for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), every_block=True).collect()}
+    assert [got[i] for i in (2, 12, 22, 51)] == ["own2\nend2", "own12\nend12", "own22\nend22", "a\nb"]
+    assert got[1] == rows[0][1]
