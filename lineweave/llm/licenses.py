@@ -1,9 +1,11 @@
 """License scans: sparse TF-IDF cosine of notices and licence files to templates, then inheritance by directory.
 
 Terms of the templates get their inverse document frequency from all documents; any other term has that of a term seen
-nowhere, so that foreign words lengthen a text's vector and lower its cosine. Each line of a file is compared as a notice
-(a header, wherever it stands), and the whole text as a licence file. A file's terms bound every cosine in it, so most
-files are settled by one lookup of their distinct words, without loss.
+nowhere, so that foreign words lengthen a text's vector and lower its cosine. Each line of a file, and each block of
+consecutive lines about as long as a template (terms leave out comment marks and wraps), is compared as a header, wherever
+it stands, and the whole text as a licence file. Full licence texts are templates for blocks and whole texts of like length
+alone, as a few common words come near them. A file's terms bound every cosine in it, so most files are settled by one
+lookup of their distinct words, without loss.
 
 Files without a licence of their own take the one of the nearest ancestor directory that holds a licence file: the
 distinct directories are exploded into their ancestors, joined with the directories that hold one, and the deepest wins.
@@ -20,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lineweave.llm.licence_texts import TEXTS
 from lineweave.llm._shared import PerWorker, over_arrow, stored, text_of
 
 #: Terms of all templates at most; they are broadcast.
 MAX_TERMS = 50_000
+#: Lengths of the blocks of lines that are compared with a template, as shares of its terms.
+BLOCKS = (0.8, 1.0, 1.25)
 #: Base names of licence files.
 LICENCE_NAMES = r"(?i)^(un)?(licen[sc]e|copying|notice)([._-].*)?$"
 _TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*").findall
@@ -59,8 +64,11 @@ def terms(text: str) -> list[str]:
 class TemplateIndex:
     """Unit TF-IDF vectors of the templates, by term."""
 
-    def __init__(self, spec: tuple[tuple[tuple[str, str], ...], dict[str, int], int]):
-        templates, df, n = spec
+    def __init__(self, spec: tuple[tuple[tuple[str, str], ...], tuple[tuple[str, str], ...], dict[str, int], int]):
+        templates, texts, df, n = spec
+        self.notices = len(templates)
+        templates += texts
+        self.lengths = [len(terms(text)) for _, text in templates]
         self.names = [name for name, _ in templates]
         self.unseen = math.log(1 + n) + 1
         self.idf = {t: math.log((1 + n) / (1 + c)) + 1 for t, c in df.items()}
@@ -71,16 +79,16 @@ class TemplateIndex:
             for t, w in weights.items():
                 self.by_term.setdefault(t, []).append((i, w / norm))
 
-    def bounded(self, known: set[str], least: float) -> bool:
-        """Whether a text whose template terms are ``known`` may reach the cosine ``least`` (Cauchy-Schwarz)."""
+    def within_bound(self, known: set[str], least: float) -> list[int]:
+        """Templates that a text whose template terms are ``known``, or a part of it, may reach (Cauchy-Schwarz)."""
         sums = [0.0] * len(self.names)
         for t in known:
             for i, w in self.by_term[t]:
                 sums[i] += w * w
-        return max(sums, default=0.0) >= least * least - 1e-9
+        return [i for i, x in enumerate(sums) if x >= least * least - 1e-9]
 
-    def best(self, text: str) -> tuple[float, int]:
-        """(cosine, template) of the nearest template; ties to the first."""
+    def best(self, text: str, full: bool = False) -> tuple[float, int]:
+        """(cosine, template) of the nearest notice, with ``full`` also of texts of half to twice the length; ties to the first."""
         counts = Counter(terms(text))
         dots = [0.0] * len(self.names)
         norm = 0.0
@@ -91,9 +99,38 @@ class TemplateIndex:
                 dots[i] += w * v
         if not norm:
             return 0.0, 0
-        top = max(range(len(dots)), key=lambda i: (dots[i], -i))
+        n = sum(counts.values())
+        among = [i for i, size in enumerate(self.lengths) if i < self.notices or full and size <= 2 * n <= 4 * size]
+        top = max(among, key=lambda i: (dots[i], -i))
         return dots[top] / math.sqrt(norm), top
 
+    def blocks(self, lines: list[list[str]], among: list[int]) -> Iterator[tuple[float, int, int]]:
+        """(cosine, template, first line from 1) of blocks of several lines, around each length in ``BLOCKS``."""
+        full = [(at, x) for at, x in enumerate(lines, 1) if x]
+        for i in among:
+            vector = {t: v for t, own in self.by_term.items() for j, v in own if j == i}
+            for size in {round(share * self.lengths[i]) for share in BLOCKS}:
+                counts: Counter = Counter()
+                dot, norm, n, end = 0.0, 0.0, 0, 0
+                for start, (at, _) in enumerate(full):
+                    while end < len(full) and (n < size or end <= start):
+                        for t in full[end][1]:
+                            w = self.idf.get(t, self.unseen)
+                            norm += w * w * (2 * counts[t] + 1)
+                            counts[t] += 1
+                            dot += w * vector.get(t, 0.0)
+                        n, end = n + len(full[end][1]), end + 1
+                        if end > start + 1 and norm > 0 and 2 * n >= size and n <= 2 * size:
+                            yield dot / math.sqrt(norm), i, at
+                    if end > start + 1 and norm > 0 and n <= 2 * size:
+                        yield dot / math.sqrt(norm), i, at
+                    for t in full[start][1]:
+                        w = self.idf.get(t, self.unseen)
+                        counts[t] -= 1
+                        norm -= w * w * (2 * counts[t] + 1)
+                        dot -= w * vector.get(t, 0.0)
+                    n -= len(full[start][1])
+
 
 def document_frequencies(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
     """Documents that hold each template term, and all documents; counted by task before the shuffle."""
@@ -118,22 +155,22 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"[^/]*$", ""), r"/+$", "")
 
 
-def scan_licenses(df: DataFrame, *, path: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(df: DataFrame, *, path: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES, texts: tuple[tuple[str, str], ...] = TEXTS, least: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licences of files.
 
     Returns ``doc_id``, ``path``, ``license``, ``score`` (cosine of the notice that decided), ``origin`` (``own``,
-    ``inherited`` or null), ``line`` (of an own notice, from 1; 0 if the whole text matched) and ``from_dir`` (where an
+    ``inherited`` or null), ``line`` (the first of an own notice, from 1; 0 if the whole text matched) and ``from_dir`` (where an
     inherited one stands). A file is a licence file if its whole text reaches ``least`` or its base name says so and a
-    line does. Several licence files in a directory: the highest score, then the first name, decides.
+    line or block does. Several licence files in a directory: the highest score, then the first name, decides.
 
     Null and empty texts have no licence of their own and may inherit. Null paths inherit nothing. Null ids are
     allowed. Repeated rows have a result each. An empty table gives none. Other columns are not read.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), path.cast("string").alias("path"), text_of(text_col).alias("text"))
-    vocabulary = {t for _, text in templates for t in terms(text)}
+    vocabulary = {t for _, text in (*templates, *texts) for t in terms(text)}
     if len(vocabulary) > MAX_TERMS:
         raise ValueError(f"templates have more than {MAX_TERMS} terms")
-    shared = PerWorker(df.sparkSession, (tuple(templates), *document_frequencies(docs, vocabulary)), TemplateIndex)
+    shared = PerWorker(df.sparkSession, (tuple(templates), tuple(texts), *document_frequencies(docs, vocabulary)), TemplateIndex)
     kind = df.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,10 +180,14 @@ def scan_licenses(df: DataFrame, *, path: Column, templates: tuple[tuple[str, st
             out = []
             for text in batch.column(2).to_pylist():
                 found: tuple = (None, None, None, None)
-                if index.bounded(vocab.intersection(terms(text)), least):
-                    whole = index.best(text)
-                    scores = [(*index.best(x), at) for at, x in enumerate(text.split("\n"), 1)] if "\n" in text else [(*whole, 1)]
+                if among := index.within_bound(vocab.intersection(terms(text)), least):
+                    whole = index.best(text, full=True)
+                    scores = [(*index.best(x), at) for at, x in enumerate(text.split("\n"), 1)] if "\n" in text else [(*index.best(text), 1)]
                     score, i, at = max(scores, key=lambda s: (s[0], -s[2]))
+                    if "\n" in text:
+                        block = max(index.blocks([terms(x) for x in text.split("\n")], among), key=lambda s: (s[0], -s[2]), default=(0.0, 0, 0))
+                        if block[0] > score + 1e-9:
+                            score, i, at = block
                     file = whole[0] >= least
                     if file and whole[0] >= score:
                         score, i, at = *whole, 0

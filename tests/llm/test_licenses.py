@@ -81,3 +81,18 @@ def test_edges(spark):
     got = sorted((str(r.doc_id), r.license, r.origin, r.from_dir) for r in licenses.scan_licenses(spark.createDataFrame(rows, schema), path=F.col("path")).collect())
     assert got == [("1", None, None, None), ("3", "CC-BY-NC-4.0", "own", None), ("3", "CC-BY-NC-4.0", "own", None), ("4", None, None, None), ("None", "CC-BY-NC-4.0", "inherited", "a")]
     assert licenses.scan_licenses(spark.createDataFrame([], schema), path=F.col("path")).count() == 0
+
+
+def test_wrapped_headers_and_licence_files(spark):
+    code = "\n".join(f"value_{i} = compute({i}, other_{i})" for i in range(60))
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n"
+    more = "# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n# GNU General Public License for more details.\n"
+    rows = [(i, f"d{i}/LEGAL", f"Copyright (c) 2020 Some One\n\n{text}") for i, (_, text) in enumerate(licenses.TEXTS)]
+    rows += [(i + 100, f"d{i}/sub/code.py", code) for i in range(len(licenses.TEXTS))]
+    rows += [(200, "x/a.py", f"#!/usr/bin/python\n{gpl}{more}\n{code}"), (201, "x/b.py", code), (202, "x/c.txt", "to the of\nor a the of to")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.origin, r.line) for r in licenses.scan_licenses(df, path=F.col("path")).collect()}
+    for i, (name, _) in enumerate(licenses.TEXTS):
+        assert got[i][:2] == (name, "own") and got[i + 100] == (name, "inherited", None)
+    assert got[200] == ("GPL-3.0", "own", 2)
+    assert got[201] == got[202] == (None, None, None)
