@@ -29,6 +29,8 @@ from lineweave.llm.graph import components
 
 MANTISSA = 10
 CACHE_WORDS = 500_000
+#: Share of the pairs at the threshold that the bands may miss.
+MISS = 1e-3
 _U = np.uint64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -252,8 +254,11 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80, bands:
 
     Null and empty texts have an empty set and link with nothing. Texts with fewer than ``words`` words are one
     shingle. Rows without an id take no part in links: component null, not kept. Rows that share an id count as one
-    document. Repeated rows repeat in the result. Other columns are not read.
+    document. Repeated rows repeat in the result. Other columns are not read. Thresholds of whose pairs ``bands`` of ``rows``
+    would miss more than ``MISS`` are refused.
     """
+    if (missed := (1 - (percent / 100) ** rows) ** bands) > MISS:
+        raise ValueError(f"{bands} bands of {rows} rows miss {missed:.2g} of the pairs at {percent} percent: take more bands or fewer rows")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     sketched = stored(sketches(docs, words, bands, rows), "sketches")
     members = sketched.select("doc_id", "n", "d1", "d2")

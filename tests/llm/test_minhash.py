@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from lineweave.llm import minhash
 from lineweave.llm.graph import components
 
@@ -94,3 +96,10 @@ def test_links_across_a_star(spark):
         got = {(r.a, r.b) for r in minhash.across(stars, docs, k, 80).collect()}
         want = {(a, b) for a in texts for b in texts if 0 < a < b and (a in far or b in far) and near(a, b)}
         assert got == want and len(want) > 9
+
+
+def test_thresholds_that_bands_cannot_hold(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(df, percent=50)
+    assert minhash.near_duplicates(df, percent=50, bands=40, rows=2).where("kept").count() == 1
