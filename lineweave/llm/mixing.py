@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lineweave.llm._shared import stored
 
 NEWTON_STEPS = 64
-#: Base rates are held to this many decimals, which bounds the sums of a source.
+#: Base rates are held to this many decimals, under 0.1 to as many significant digits, which bounds the sums of a source.
 BASE_DECIMALS = 2
 #: Documents of a shard in which copies are rounded together, about.
 SHARD_ROWS = 2_000
@@ -32,6 +32,12 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def held(base: Column) -> Column:
+    """A base rate as it enters the sums; positive rates stay positive."""
+    scale = F.pow(F.lit(10.0), BASE_DECIMALS - 1 - F.floor(F.log10(base)))
+    return F.when((base > 0) & (base < 0.1), F.round(base * scale) / scale).otherwise(F.round(base, BASE_DECIMALS))
+
+
 def source_targets(sizes: DataFrame, cap: float = 3.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
     """Targets from ``source``, ``source_size`` (one row for each source): adds ``target``.
 
@@ -90,7 +96,7 @@ def mix(df: DataFrame, *, cap: float = 3.0, weights: tuple[float, ...] = (1.0, 2
         F.col(source_col).alias("source"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"),
         word_count(text_col).alias("size"),
-        F.round(base, BASE_DECIMALS).alias("q"),
+        held(base).alias("q"),
     )
     # counting words is the costly part: once, not for sums and copies alike
     sized = stored(sized, "sizes")

@@ -71,3 +71,13 @@ def test_documents_and_empty(spark):
     out = mixing.mixed_documents(df)
     assert out.columns == df.columns and out.count() == taken
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_small_base_rates(spark):
+    rows = [(i, "a b c d", f"s{i % 2}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, base=F.when(F.col("doc_id") % 4 < 2, 0.004).otherwise(0.001)).collect()
+    assert all(r.rate > 0 for r in got)
+    for source in ("s0", "s1"):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 8
