@@ -8,9 +8,10 @@ Documents with equal sets form one class and one representative enters the searc
 each bucket of a band, members are compared with a leader, the member that most other documents share buckets with (for
 copies of one original, the original); links join into components. Where a bucket then still holds several, its members
 are described by what they lack of the leader and what they add. A member outside the leader's component can link with
-another only if they share a number of these differences that their counts imply, so the two meet in a join on prefixes
-of their differences (see ``across``). So no bucket's pairs are all formed, and no pair that shares a band and could join
-two components is lost. A pair of similarity 0.8 shares none of 40 bands of 5 with a probability of 1e-7.
+another only if they share some of these differences and hold few others before the rarest that they share, so the two
+meet in a join on atoms of differences (see ``across``). So no bucket's pairs are all formed, and no pair that shares a
+band and could join two components is lost. A pair of similarity 0.8 shares none of 40 bands of 5 with a probability of
+1e-7.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.llm._shared import over_arrow, stored, text_of
@@ -193,18 +194,18 @@ def confirmed(pairs: DataFrame, df: DataFrame, words: int, percent: int) -> Data
 def across(stars: DataFrame, df: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between members of different components that share a leader.
 
-    ``stars``: leader, member, inside (the member's component), outside (it is not the leader's). With l the size of the
-    leader's set and a member's d deletions from and a additions to it, two members that share s differences have
+    ``stars``: leader, member, inside (the member's component), outside (it is not the leader's). A member is told by
+    its differences from the leader, what it lacks and what it adds: as many of them lie in one of two members alone as
+    shingles do. Sets of n1 and n2 link just if at most h = (n1 + n2) (100 - p) / (100 + p) shingles lie in one alone, so
 
-        intersection = l - d1 - d2 + s,  union = l + a1 + a2 - s,
+        2 |e1 - e2| <= |e1| - |e2| + h,  2 |e2 - e1| <= |e2| - |e1| + h
 
-    so they link just if s >= (p (l + a1 + a2) - 100 (l - d1 - d2)) / (100 + p). A member outside the leader's component
-    has p (l + a1) > 100 (l - d1). For it this asks for s >= (p (l + a1) - 100 (l - d1)) / 100 whatever the other is,
-    and for the other for s > (p a2 + 100 d2) / (100 + p). In one order of all differences, additions first, lists of
-    e1 and e2 that share s have their first common element among their first e1 - s + 1 and e2 - s + 1. That is an
-    addition if they share any, so prefixes meet on additions. If they share none, s is at most d2, which asks for
-    p (l + a1) - 100 (l - d1) <= p (d2 - a2): only members smaller than the leader meet on deletions. The few pairs that
-    meet are counted out.
+    for their differences e1 and e2. They share one, if either is outside: with none in common, the one that is
+    not linked with the leader would be farther still from the other. Differences that the same members of a star hold
+    count as one atom with their number as its weight; those that a member holds alone are only counted. In one order of
+    a star's atoms, rarest first, all that a member holds before the first atom that two share lies in it alone. So
+    members meet on atoms before which each has no more weight than these bounds allow, which leaves few pairs to be
+    counted out. No pair that links is lost.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,24 +222,25 @@ def across(stars: DataFrame, df: DataFrame, words: int, percent: int) -> DataFra
     told = over_arrow(side_by_side(pairs, df), run, "a long, b long, l long, d long, m long, e array<long>")
     told = stored(told.join(stars.select(F.col("leader").alias("a"), F.col("member").alias("b"), "inside", "outside"), ["a", "b"]), "differences")
     p = percent
-    over = p * (F.col("l") + F.col("m")) - 100 * (F.col("l") - F.col("d"))
-    need = F.greatest(F.lit(1), F.ceil(over / 100))
-    other = F.floor((p * F.col("m") + 100 * F.col("d")) / (100 + p)) + 1
-    sizes = [*(F.col(c) for c in ("a", "b", "inside", "outside", "l", "d", "m")), over.alias("over")]
-    head = lambda n, kind: F.greatest(F.lit(0), F.least(n, kind)).cast("int")
-    added = lambda n: F.explode(F.slice("e", F.lit(1), head(F.col("d") + F.col("m") - n + 1, F.col("m")))).alias("at")
-    dropped = lambda n: F.explode(F.slice("e", (F.col("m") + 1).cast("int"), head(F.col("d") - n + 1, F.col("d")))).alias("at")
-
-    def meet(prefix, more: Column) -> DataFrame:
-        x = told.where("outside").select(*sizes, prefix(need)).select(*(F.col(c).alias(f"x_{c}") for c in ("a", "b", "inside", "l", "d", "m", "over", "at")))
-        y = told.where(more).select(*sizes, prefix(other)).select(*(F.col(c).alias(f"y_{c}") for c in ("a", "b", "inside", "outside", "d", "m", "at")))
-        most = F.least("x_d", "y_d") + F.least("x_m", "y_m")
-        enough = (100 + p) * most >= F.col("x_over") + p * F.col("y_m") + 100 * F.col("y_d")
-        apart = (F.col("x_inside") != F.col("y_inside")) & (~F.col("y_outside") | (F.col("x_b") < F.col("y_b")))
-        small = (F.col("x_over") <= p * (F.col("y_d") - F.col("y_m"))) if prefix is dropped else F.lit(True)
-        return x.join(y, (F.col("x_a") == F.col("y_a")) & (F.col("x_at") == F.col("y_at")) & apart & enough & small).select(F.col("x_a").alias("a"), "x_b", "y_b")
-
-    met = meet(added, F.lit(True)).union(meet(dropped, F.col("d") > F.col("m"))).distinct()
+    each = told.select("a", "b", F.explode("e").alias("at"))
+    # hashes over members tell sets of them apart; stored, so that the join with it may split differences that many hold
+    held = stored(each.groupBy("a", "at").agg(F.count(F.lit(1)).alias("holders"), F.bit_xor(F.xxhash64("b")).alias("who")).where("holders > 1").withColumn("atom", F.xxhash64("who", "holders")).select("a", "at", "holders", "atom"), "held")
+    atoms = each.join(held, ["a", "at"]).groupBy("a", "b", "holders", "atom").agg(F.count(F.lit(1)).alias("weight"))
+    member = Window.partitionBy("a", "b")
+    before = F.sum("weight").over(member.orderBy("holders", "atom")) - F.col("weight")
+    atoms = atoms.select("a", "b", "atom", before.alias("before"), F.sum("weight").over(member).alias("shared"))
+    n = F.col("l") - F.col("d") + F.col("m")
+    about = told.select("a", "b", "inside", "outside", "d", "m", n.alias("n"), F.floor(n * (100 - p) / p).alias("most"))
+    skip = F.col("d") + F.col("m") - F.col("shared") + F.col("before")
+    placed = stored(atoms.join(about, ["a", "b"]).withColumn("skip", skip).where("skip <= most").drop("before", "shared"), "atoms")
+    side = lambda c: [F.col(i).alias(f"{c}_{i}") for i in ("a", "atom", "b", "inside", "outside", "d", "m", "n", "skip")]
+    x, y = placed.where("2 * skip <= most").select(*side("x")), placed.select(*side("y"))
+    apart = (F.col("x_inside") != F.col("y_inside")) & (F.col("x_outside") | F.col("y_outside"))
+    far = F.floor((F.col("x_n") + F.col("y_n")) * (100 - p) / (100 + p))
+    longer = F.col("y_d") + F.col("y_m") - F.col("x_d") - F.col("x_m")
+    first = (longer > 0) | ((longer == 0) & (F.col("x_b") < F.col("y_b")))
+    near = (F.abs(F.col("x_d") - F.col("y_d")) + F.abs(F.col("x_m") - F.col("y_m")) <= far) & (2 * F.col("x_skip") <= far - longer) & (2 * F.col("y_skip") <= far + longer)
+    met = x.join(y, (F.col("x_a") == F.col("y_a")) & (F.col("x_atom") == F.col("y_atom")) & apart & first & near).select(F.col("x_a").alias("a"), "x_b", "y_b").distinct()
     full = lambda c: told.select("a", F.col("b").alias(f"{c}_b"), F.col("l").alias(f"{c}_l"), F.col("d").alias(f"{c}_d"), F.col("m").alias(f"{c}_m"), F.col("e").alias(f"{c}_e"))
     both = met.join(full("x"), ["a", "x_b"]).join(full("y"), ["a", "y_b"])
     s = F.size(F.array_intersect("x_e", "y_e"))
