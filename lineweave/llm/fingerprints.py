@@ -39,9 +39,10 @@ def bucket_of(doc_id: Column, edges: list[float]) -> Column:
     return F.when(doc_id.isNull(), F.lit(-1)).otherwise(coarse * STEPS + F.least(step, F.lit(STEPS - 1))).cast("int")
 
 
-def uniform(bits: Column) -> Column:
-    """A number in (0, 1) from 32 bits of a hash."""
-    return (bits.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) * 2.0**-32
+def uniform(bits: Column, third: int) -> Column:
+    """A number in (0, 1) from 21 bits of a hash: the first, second or third."""
+    own = (F.shiftrightunsigned(bits, 21 * third) if third else bits).bitwiseAND(F.lit((1 << 21) - 1))
+    return (own.cast("double") + 0.5) * 2.0**-21
 
 
 def word_counts(df: DataFrame, text: str, out: str, which: int) -> DataFrame:
@@ -58,15 +59,17 @@ def word_counts(df: DataFrame, text: str, out: str, which: int) -> DataFrame:
 
 
 def sample(slot: Column) -> Column:
-    """What ``h`` with count e^``ln_x`` draws in a slot: ln a in fixed point above 27 bits of the hash of (word, t)."""
-    high = lambda c: F.shiftrightunsigned(c, 32)
-    gamma = lambda c: -F.log(uniform(c) * uniform(high(c)))
-    k1, k2, k3 = (F.xxhash64("h", slot, F.lit(i)) for i in (1, 2, 3))
-    r, c, b = gamma(k1), F.log(gamma(k2)), uniform(high(k3))
-    t = F.floor(F.col("ln_x") / r + b)
-    log_a = c - r * (t - b + 1)
+    """What ``h`` with count e^``ln_x`` draws in a slot: ln a in fixed point above 27 bits that tell (word, t)."""
+    low = F.lit((1 << 27) - 1)
+    # two hashes have the bits of five numbers
+    k1, k2 = (F.xxhash64(F.col("h").bitwiseXOR((slot * 2 + i + 1) * F.lit(0x9E3779B97F4A7))) for i in (0, 1))
+    r = -F.log(uniform(k1, 0) * uniform(k1, 1))
+    c = F.log(-F.log(uniform(k2, 0) * uniform(k2, 1)))
+    t = F.floor(F.col("ln_x") / r + uniform(k1, 2))
+    log_a = c - r * (t - uniform(k1, 2) + 1)
     fixed = F.greatest(F.lit(0.0), F.least(F.lit(2.0**30 - 1), (log_a + 128) * 2.0**22)).cast("long")
-    return F.shiftleft(fixed, 27).bitwiseOR(F.xxhash64("h", t).bitwiseAND(F.lit((1 << 27) - 1)))
+    told = F.col("h").bitwiseAND(low) + t.bitwiseAND(low) * F.lit(0x4F1BBCD)
+    return F.shiftleft(fixed, 27).bitwiseOR(told.bitwiseAND(low))
 
 
 def likeness(x: str, y: str) -> Column:
