@@ -84,7 +84,9 @@ def number_tokens(c: Column) -> Column:
 def best_tokens(c: Column) -> Column:
     """number_tokens with each value once, under its most trusted pattern, by rank and value."""
     by_value = F.array_sort(F.transform(number_tokens(c), lambda t: F.struct(t["value"].alias("value"), t["rank"].alias("rank"), t["pattern"].alias("pattern"))))
-    return F.filter(by_value, lambda t, i: (i == 0) | (F.get(by_value, i - 1)["value"] != t["value"]))
+    none = F.array().cast("array<struct<value:bigint,rank:int,pattern:string>>")
+    # a fold names the tokens once; a filter that looks at its neighbours would find them again for each
+    return F.aggregate(by_value, none, lambda kept, t: F.when(F.try_element_at(kept, F.lit(-1))["value"] == t["value"], kept).otherwise(F.concat(kept, F.array(t))))
 
 
 def biz_digits(c: Column) -> Column:

@@ -22,6 +22,26 @@ def lines_sql(engine: str) -> str:
     spark = engine == "spark"
     t = (lambda n: "{" + n + "}") if spark else (lambda n: n)
     fmt = (lambda x: f"format_number({x}, 0)") if spark else (lambda x: f"format('{{:,}}', {x})")
+    ranked = f"select l_orderkey as k, p_name as name, cast(floor(l_quantity) as bigint) as qty, cast(floor(l_extendedprice) as bigint) as amt, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) as n from {t('lineitem')} join {t('part')} on l_partkey = p_partkey"
+    sums = f"select k, cast(sum(amt) as bigint) as s, count(*) as n from ({ranked}) q group by k"
+    item = ("40, 200 + 30 * n, name", "420, 200 + 30 * n, cast(qty as string)", f"620, 200 + 30 * n, {fmt('amt')}")
+    tenth = "cast(floor(s / 10) as bigint)"
+    summary = (f"400, 240 + 30 * n, concat('공급가액 ', {fmt('s')})", f"400, 270 + 30 * n, concat('부가세 ', {fmt(tenth)})", f"400, case when k % 3 <> 0 then 300 + 30 * n end, concat('합계 ', {fmt(f's + {tenth}')})")
+    # Spark makes the lines of an item, and those of a document's sums, out of one row each, so that items are ranked once
+    several = lambda of, what: f"    union all select k, x, y0, text from ({of}) r lateral view stack(3, {', '.join(what)}) as x, y0, text where y0 is not null"
+    items = several(ranked, item) + "\n" + several(sums, summary) if spark else f"""    union all
+    select k, 40, 200 + 30 * n, name from (select l_orderkey as k, p_name as name, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) as n from {t('lineitem')} join {t('part')} on l_partkey = p_partkey) q
+    union all
+    select k, 420, 200 + 30 * n, cast(qty as string) from (select l_orderkey as k, cast(floor(l_quantity) as bigint) as qty, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) as n from {t('lineitem')}) q
+    union all
+    select k, 620, 200 + 30 * n, {fmt('amt')} from (select l_orderkey as k, cast(floor(l_extendedprice) as bigint) as amt, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) as n from {t('lineitem')}) q
+    union all
+    select k, 400, 240 + 30 * n, concat('공급가액 ', {fmt('s')}) from (select l_orderkey as k, sum(cast(floor(l_extendedprice) as bigint)) as s, count(*) as n from {t('lineitem')} group by l_orderkey) q
+    union all
+    select k, 400, 270 + 30 * n, concat('부가세 ', {fmt('cast(floor(s / 10) as bigint)')}) from (select l_orderkey as k, cast(sum(cast(floor(l_extendedprice) as bigint)) as bigint) as s, count(*) as n from {t('lineitem')} group by l_orderkey) q
+    union all
+    select k, 400, 300 + 30 * n, concat('합계 ', {fmt('s + cast(floor(s / 10) as bigint)')}) from (select l_orderkey as k, cast(sum(cast(floor(l_extendedprice) as bigint)) as bigint) as s, count(*) as n from {t('lineitem')} group by l_orderkey) q
+    where k % 3 <> 0"""
     # even customers get a right check digit, odd ones a wrong one
     return f"""
 select doc_id, cast(row_number() over (partition by doc_id order by y, x) - 1 as int) as line_idx, x, y,
@@ -37,19 +57,7 @@ from (
     from (select o_orderkey as k, o_custkey as c, cast(100000000 + (o_custkey * 7919) % 900000000 as string) as b from {t('orders')}) q
     union all
     select o_orderkey, 40, 100, concat('거래일시 ', cast(cast(o_orderdate as date) as string)) from {t('orders')}
-    union all
-    select k, 40, 200 + 30 * n, name from (select l_orderkey as k, p_name as name, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) as n from {t('lineitem')} join {t('part')} on l_partkey = p_partkey) q
-    union all
-    select k, 420, 200 + 30 * n, cast(qty as string) from (select l_orderkey as k, cast(floor(l_quantity) as bigint) as qty, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) as n from {t('lineitem')}) q
-    union all
-    select k, 620, 200 + 30 * n, {fmt('amt')} from (select l_orderkey as k, cast(floor(l_extendedprice) as bigint) as amt, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) as n from {t('lineitem')}) q
-    union all
-    select k, 400, 240 + 30 * n, concat('공급가액 ', {fmt('s')}) from (select l_orderkey as k, sum(cast(floor(l_extendedprice) as bigint)) as s, count(*) as n from {t('lineitem')} group by l_orderkey) q
-    union all
-    select k, 400, 270 + 30 * n, concat('부가세 ', {fmt('cast(floor(s / 10) as bigint)')}) from (select l_orderkey as k, cast(sum(cast(floor(l_extendedprice) as bigint)) as bigint) as s, count(*) as n from {t('lineitem')} group by l_orderkey) q
-    union all
-    select k, 400, 300 + 30 * n, concat('합계 ', {fmt('s + cast(floor(s / 10) as bigint)')}) from (select l_orderkey as k, cast(sum(cast(floor(l_extendedprice) as bigint)) as bigint) as s, count(*) as n from {t('lineitem')} group by l_orderkey) q
-    where k % 3 <> 0
+{items}
   ) u
 ) v
 """
