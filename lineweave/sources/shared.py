@@ -11,10 +11,16 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a local folder where it is unset (tests)."""
+    """``spark.checkpoint.dir``. Where it is unset a local folder serves one machine (tests); a cluster is refused.
+
+    Tables stay there after the run: an executor lost later may have to read them again. Give each application a folder
+    of its own and delete it once its results are written.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 

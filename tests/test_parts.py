@@ -2,8 +2,10 @@
 
 import json
 import os
+import shutil
 import subprocess
 import sys
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import Row
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from lineweave.functions import text as T
 from lineweave.operators import amounts, evaluate, history, parties, restore, rows, tables
 from lineweave.sources import json as sources
+from lineweave.sources import shared
 from lineweave.streaming import log
 
 
@@ -152,3 +155,24 @@ q = e.queries()
 assert 'amount_select_top1' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+@pytest.mark.parametrize("gone", [("llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
+def test_entry_of_a_copy_without_the_folders(gone, tmp_path):
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(here, copy, ignore=shutil.ignore_patterns(".git", "tests", "__pycache__", *gone))
+    code = f"""
+import __spark_entry__ as e
+q = e.queries()
+assert e.__file__.startswith({str(copy)!r})
+assert 'amount_select_top1' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)
+assert ('op2_bpe' in q) == ('llm' not in {gone!r}) and e.MISSING
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)})
+
+
+def test_shared_folder_needs_a_setting_on_clusters():
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared.shared_dir(cluster)
