@@ -66,11 +66,16 @@ def threshold_search(q: np.ndarray, own: int, ids: np.ndarray, data: np.ndarray,
     n = len(ids)
     best_score, best_id = np.empty(0, np.int64), np.empty(0, np.int64)
     seen = np.zeros(n, bool)
-    walk = np.where((q[dims] > 0)[:, None], lists[dims, ::-1], lists[dims])
+    up = q[dims] > 0
     at, step = 0, 16
+
+    def walked(i: int, j: int) -> np.ndarray:
+        """Rows at positions i to j of each list, from the end that the query favours; no other part is read."""
+        return np.concatenate([lists[dims[up], max(0, n - j) : n - i], lists[dims[~up], i:j]])
+
     while at < n:
         if len(dims):
-            met = walk[:, at : at + step].ravel()
+            met = walked(at, at + step).ravel()
             met = np.unique(met[~seen[met]])
         else:  # every row scores 0
             met = np.arange(n)
@@ -84,7 +89,8 @@ def threshold_search(q: np.ndarray, own: int, ids: np.ndarray, data: np.ndarray,
         step *= 2
         if not len(dims) or at >= n:
             break
-        bound = int(data[walk[:, at - 1], dims] @ q[dims])
+        sides = np.concatenate([dims[up], dims[~up]])
+        bound = int(data[walked(at - 1, at).ravel(), sides] @ q[sides])
         if len(keep) == k and best_score[-1] > bound:  # an unmet row with the bound itself might have a smaller id
             break
     return list(zip(best_score.tolist(), best_id.tolist()))
