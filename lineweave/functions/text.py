@@ -28,13 +28,13 @@ NUMBER_PATTERNS = (
 LARGEST_AMOUNT = 500_000_000
 #: Line categories in order of precedence.
 CATEGORIES = (
-    ("noise_label", r"승인번호|카드번호|거래일시|매출전표|감사합니다|재발행|고객용"),
-    ("biz_number", r"\d{3}-\d{2}-\d{5}|사업자"),
-    ("phone", r"0\d{1,2}-\d{3,4}-\d{4}|(?i)\btel\b"),
-    ("address", r"[가-힣]+(시|도) [가-힣]+(구|군|시)"),
-    ("date", r"(19|20)\d{2}[./-]\d{1,2}[./-]\d{1,2}"),
-    ("amount_like", r"\d{1,3}(,\d{3})+|\d+원"),
-    ("merchant_hint", r"주식회사|\(주\)|(?i)coffee|cafe|mart|customer"),
+    ("noise_label", r"(?i)승인번호|카드번호|거래일시|매출전표|영수증|가맹|합계|총계|부가세|공급가액"),
+    ("biz_number", r"[1-9]\d{2}[-\s.]\d{2}[-\s.]\d{5}"),
+    ("phone", r"\(?0\d{1,2}\)?[-\s]?\d{3,4}[-\s]?\d{4}"),
+    ("address", r"서울|경기|인천|부산|대구|광주|대전|울산|충북|충남|전북|전남|경북|경남|제주|강원"),
+    ("date", r"\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{2}[-./]\d{2}[-./]\d{2}"),
+    ("amount_like", r"\d{1,3}(?:,\d{3})+|\d{4,}(?:원|₩)?"),
+    ("merchant_hint", r"(?i)상호|가맹점|회사명|업체명|점명|가맹점명|상점명|카페|커피|마트|편의점|식당|약국|병원|의원|치킨|버거|피자|베이커리|coffee|cafe|baguette|GS25|CU|이마트|홈플러스"),
 )
 BIZ_WEIGHTS = (1, 3, 7, 1, 3, 7, 1, 3, 5)
 #: Cells that mean nothing.
@@ -150,8 +150,8 @@ def date_normalise(c: Column) -> Column:
 
 
 def category(c: Column) -> Column:
-    """Category of a line: empty for null or blank, else the first pattern that matches."""
-    t = F.trim(F.coalesce(c, F.lit("")))
+    """Category of a line: empty for null or no text, else the first pattern that matches; a blank line is other."""
+    t = F.coalesce(c, F.lit(""))
     chain = F.when(t == "", "empty")
     for name, pattern in CATEGORIES:
         chain = chain.when(t.rlike(pattern), name)

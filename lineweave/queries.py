@@ -190,17 +190,29 @@ def line_filter_conf_size(spark, d):
     return rows.confident(lines_of(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.round(F.min("conf"), 4).alias("least_conf"))
 
 
-@query(
-    f"with {LINES}"
-    + r""" select category, count(*) as n from (select case when trim(text) = '' then 'empty' when regexp_matches(text, '승인번호|카드번호|거래일시|매출전표|감사합니다|재발행|고객용') then 'noise_label'
-  when regexp_matches(text, '\d{3}-\d{2}-\d{5}|사업자') then 'biz_number' when regexp_matches(text, '0\d{1,2}-\d{3,4}-\d{4}') then 'phone' when regexp_matches(text, '(19|20)\d{2}[./-]\d{1,2}[./-]\d{1,2}') then 'date'
-  when regexp_matches(text, '\d{1,3}(,\d{3})+|\d+원') then 'amount_like' when regexp_matches(lower(text), '주식회사|coffee|cafe|mart|customer') then 'merchant_hint'
-  when length(regexp_replace(text, '\s+', '', 'g')) between 2 and 20 and not regexp_matches(text, '\d') then 'text_candidate' else 'other' end as category from lines) group by category"""
-)
+_CATEGORY = "case when text is null or text = '' then 'empty' " + " ".join(f"when regexp_matches(text, '{p}') then '{n}'" for n, p in T.CATEGORIES) + r" when length(regexp_replace(text, '\s+', '', 'g')) between 2 and 20 and not regexp_matches(text, '\d') then 'text_candidate' else 'other' end"
+
+
+@query(f"with {LINES} select category, count(*) as n from (select {_CATEGORY} as category from lines) group by category")
 def line_category_counts(spark, d):
     return lines_of(spark, d).groupBy(T.category(F.col("text")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: A line for each customer, of a shape that its key chooses: one for each branch and some that come near it.
+_SHAPES = (
+    "null", "''", "'   '", "concat('승인번호 ', cast(c_custkey as string))", "concat('영수증 ', c_name)", "concat('총계 ', cast(c_custkey * 1000 as string))", "concat('123-45 ', cast(10000 + c_custkey % 90000 as string))",
+    "concat('220.81.', cast(10000 + c_custkey % 90000 as string))", "concat('012-34-', cast(10000 + c_custkey % 90000 as string))", "concat('(02) 555-', cast(1000 + c_custkey % 9000 as string))", "concat('010 1234 ', cast(1000 + c_custkey % 9000 as string))",
+    "concat('경기 성남 ', cast(c_custkey % 100 as string))", "concat('제주점 ', c_mktsegment)", "concat('2024.', cast(1 + c_custkey % 12 as string), '.5')", "concat('24/', cast(10 + c_custkey % 3 as string), '/15')", "'1,234,500'", "concat(cast(c_custkey % 9 + 1 as string), '2500원')",
+    "concat('gs25 ', c_mktsegment)", "concat('Coffee ', c_mktsegment)", "'푸른 약국'", "'가나다라'", "lower(c_mktsegment)", "'a'", "concat('item ', cast(c_custkey % 100 as string))",
+)
+_SHAPED = "select c_custkey as custkey, case " + " ".join(f"when c_custkey % {len(_SHAPES)} = {i} then {x}" for i, x in enumerate(_SHAPES)) + " end as text from "
+
+
+@query(f"select custkey, {_CATEGORY} as category from ({_SHAPED} customer) q")
+def line_categories(spark, d):
+    return spark.sql(_SHAPED + "{customer}", customer=read(spark, d, "customer")).select("custkey", T.category(F.col("text")).alias("category"))
+
+
 @query(f"with {ROWED} select doc_id, line_idx, row_idx from rowed")
 def row_cluster_gaps(spark, d):
     return clustered_of(spark, d).select("doc_id", "line_idx", "row_idx")

@@ -42,7 +42,11 @@ def test_dates_and_cells(spark):
     assert each(spark, T.cell, [" a​b ", "x–y", None]) == ["ab", "x-y", ""]
     assert each(spark, T.meaningless, ["-", " N/A ", "0", None]) == [True, True, False, True]
     assert each(spark, lambda c: T.shortened(c, 8), ["a  b", "abcdefghij"]) == ["a b", "abcde..."]
-    assert each(spark, T.category, ["", "사업자 1", "2024-01-02", "33,000", "주식회사", "가나다", "x1"]) == ["empty", "biz_number", "date", "amount_like", "merchant_hint", "text_candidate", "other"]
+    # as the rules read: a label without a number and a company word are plain text, a blank line is other, and a
+    # number that begins with 0 is none of a business but holds two digits thrice, like a date
+    texts = [None, "", "  ", "사업자 1", "123-45-67890", "012-34-56789", "(02)555-1234", "서울 중구", "2024-01-02", "33,000", "주식회사", "영수증 33,000", "cu 편의", "가나다", "x1"]
+    kinds = ["empty", "empty", "other", "other", "biz_number", "date", "phone", "address", "date", "amount_like", "text_candidate", "noise_label", "merchant_hint", "text_candidate", "other"]
+    assert each(spark, T.category, texts) == kinds
 
 
 def lines(spark, rows_):
