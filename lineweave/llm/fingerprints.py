@@ -6,9 +6,12 @@ gamma-based samples: with r, c ~ Gamma(2, 1) and b ~ U(0, 1) drawn from the hash
 documents keep the same sample in a slot with the probability of their generalised Jaccard similarity, the sum of minima
 over the sum of maxima, however skewed their counts are. Texts without words fill no slot.
 
-Words are hashed, sorted and counted within their document by array functions, so that no table of words is kept. Samples
-are drawn from exploded counts, in generated code: a row for each word and lane of slots, an aggregate for each slot of
-the lane. Documents are dealt by ranges of ids into buckets. A sentinel row at each bucket's end holds the text that
+The least a of a text of n words is exponential with rate n, so samples that are surely over ``SURE / n`` are not worked
+out: no slot's sample differs for it, except that a slot stays empty with probability e^-24 (4e-11).
+
+Words of a text and of its edited text are hashed, sorted and counted together by array functions, so that no table of
+words is kept and a word that both hold is drawn once. Samples are drawn from exploded counts, in generated code: a row
+for each word and lane of slots, an aggregate for each text and slot of the lane. Documents are dealt by ranges of ids into buckets. A sentinel row at each bucket's end holds the text that
 follows, so that neighbours meet in a window of one bucket; texts are shuffled once.
 """
 
@@ -23,8 +26,10 @@ from lineweave.llm._shared import stored, text_of
 
 #: Buckets: so many quantiles of the ids, each cut into equal steps.
 QUANTILES, STEPS = 64, 32
+#: A text of n words fills each slot with a sample of a <= SURE / n, but for a probability of e^-SURE.
+SURE = 24.0
 #: Slots that one row draws, at most: few enough for compiled code, enough to spare rows.
-LANE = 8
+LANE = 4
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -45,31 +50,64 @@ def uniform(bits: Column, third: int) -> Column:
     return (own.cast("double") + 0.5) * 2.0**-21
 
 
-def word_counts(df: DataFrame, text: str, out: str, which: int) -> DataFrame:
-    """Adds ``out``: array of (which, h, x), the hash and the count of each distinct word of a text.
+def word_counts(df: DataFrame, text: str, edited: str, out: str) -> DataFrame:
+    """Adds ``out``: array of (h, x, y), the hash of each distinct word of either text and its counts in both.
 
+    Hashes give their last bit to the text that they come from, so that sorting puts a word's own runs side by side.
     Columns are added one at a time: each array is used several times, which keeps it from being computed as often.
     """
-    none = F.xxhash64(F.lit(""))  # of the empty strings that splitting leaves at the ends
-    words, ends = f"{out}_words", f"{out}_ends"
-    df = df.withColumn(words, F.sort_array(F.transform(F.split(text, SPACE), lambda w: F.xxhash64(w))))
+    none = F.xxhash64(F.lit("")).bitwiseAND(F.lit(-2))  # of the empty strings that splitting leaves at the ends
+    words, ends, runs = f"{out}_words", f"{out}_ends", f"{out}_runs"
+    hashed = lambda t, side: F.transform(F.split(t, SPACE), lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(side).cast("long")))
+    df = df.withColumn(words, F.sort_array(F.concat(hashed(text, 0), hashed(edited, 1))))
     df = df.withColumn(ends, F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ~F.get(words, i).eqNullSafe(F.get(words, i + 1))))
-    run = lambda i, j: F.struct(F.lit(which).alias("which"), F.get(words, i).alias("h"), (i - F.coalesce(F.get(ends, j - 1), F.lit(-1))).cast("long").alias("x"))
-    return df.withColumn(out, F.filter(F.transform(ends, run), lambda w: w["h"] != none)).drop(words, ends)
+    run = lambda i, j: F.struct(F.get(words, i).alias("v"), (i - F.coalesce(F.get(ends, j - 1), F.lit(-1))).cast("long").alias("n"))
+    df = df.withColumn(runs, F.transform(ends, run))
 
+    def pair(w, j):
+        own, before, after = w["v"].bitwiseAND(F.lit(1)) == 0, F.get(runs, j - 1), F.get(runs, j + 1)
+        # a run of the edited text is told with that of the text before it, where there is one
+        lone = ~own & ~before["v"].eqNullSafe(w["v"] - 1)
+        y = F.when(lone, w["n"]).when(own & (after["v"] == w["v"] + 1), after["n"]).otherwise(0)
+        return F.struct(w["v"].bitwiseAND(F.lit(-2)).alias("h"), F.when(own, w["n"]).otherwise(0).alias("x"), y.alias("y"))
 
-def sample(slot: Column) -> Column:
-    """What ``h`` with count e^``ln_x`` draws in a slot: ln a in fixed point above 27 bits that tell (word, t)."""
-    low = F.lit((1 << 27) - 1)
+    return df.withColumn(out, F.filter(F.transform(runs, pair), lambda w: (w["x"] + w["y"] > 0) & (w["h"] != none))).drop(words, ends, runs)
+
+
+def drawn(words: DataFrame, lane: int) -> DataFrame:
+    """Adds r, ln c and b of each word for the slots of its lane ``at``: drawn once, whatever texts hold the word.
+
+    Where ``most`` shows that the word cannot be the least of either text, r and ln c are null and cost no logarithm:
+    with c = -ln p1 >= 1 - p1 and e^-r = p0, a count x gives a >= (1 - p1) p0 / x.
+    """
     # two hashes have the bits of five numbers
-    k1, k2 = (F.xxhash64(F.col("h").bitwiseXOR((slot * 2 + i + 1) * F.lit(0x9E3779B97F4A7))) for i in (0, 1))
-    r = -F.log(uniform(k1, 0) * uniform(k1, 1))
-    c = F.log(-F.log(uniform(k2, 0) * uniform(k2, 1)))
-    t = F.floor(F.col("ln_x") / r + uniform(k1, 2))
-    log_a = c - r * (t - uniform(k1, 2) + 1)
+    key = lambda i, j: F.xxhash64(F.col("h").bitwiseXOR(((F.col("at") * lane + i) * 2 + j + 1) * F.lit(0x9E3779B97F4A7)))
+    words = words.select("*", *(key(i, j).alias(f"k{j}_{i}") for i in range(lane) for j in (0, 1)))
+    product = lambda j, i: uniform(F.col(f"k{j}_{i}"), 0) * uniform(F.col(f"k{j}_{i}"), 1)
+    names = ("bucket", "seq", "at", "h", "x", "ln_x", "ln_y")
+    words = words.select(
+        *(*names, "most"),
+        *(product(j, i).alias(f"p{j}_{i}") for i in range(lane) for j in (0, 1)),
+        *(uniform(F.col(f"k0_{i}"), 2).alias(f"b{i}") for i in range(lane)),
+    )
+    may_win = lambda i: (1 - F.col(f"p1_{i}")) * F.col(f"p0_{i}") <= F.col("most")
+    return words.select(
+        *names,
+        *(F.when(may_win(i), -F.log(F.col(f"p0_{i}"))).alias(f"r{i}") for i in range(lane)),
+        *(F.when(may_win(i), F.log(-F.log(F.col(f"p1_{i}")))).alias(f"c{i}") for i in range(lane)),
+        *(f"b{i}" for i in range(lane)),
+    )
+
+
+def sample(i: int, ln_count: str) -> Column:
+    """What ``h`` with a count draws in slot i of its lane: ln a in fixed point above 27 bits that tell (word, t); null without a count."""
+    low = F.lit((1 << 27) - 1)
+    r, c, b = (F.col(f"{n}{i}") for n in "rcb")
+    t = F.floor(F.col(ln_count) / r + b)
+    log_a = c - r * (t - b + 1)
     fixed = F.greatest(F.lit(0.0), F.least(F.lit(2.0**30 - 1), (log_a + 128) * 2.0**22)).cast("long")
     told = F.col("h").bitwiseAND(low) + t.bitwiseAND(low) * F.lit(0x4F1BBCD)
-    return F.shiftleft(fixed, 27).bitwiseOR(told.bitwiseAND(low))
+    return F.when(F.col(ln_count).isNotNull(), F.shiftleft(fixed, 27).bitwiseOR(told.bitwiseAND(low)))
 
 
 def likeness(x: str, y: str) -> Column:
@@ -119,21 +157,27 @@ def fingerprint_documents(df: DataFrame, *, slots: int = 64, id_col: str = "doc_
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("after", F.lit(1), cut))
     own = own.select("bucket", "seq", "doc_id", "n_chars", "text", edited.alias("edited"), "into").withColumn("sha", F.sha2("edited", 256))
-    own = word_counts(word_counts(own, "text", "x", 0), "edited", "y", 1)
-    # what else a row returns travels as longs in elements of a third kind, numbered by x
+    own = word_counts(own, "text", "edited", "words")
+    # what else a row returns travels as longs in elements of a third kind, numbered by x below 0
     quarter = lambda i: F.conv(F.substring("sha", 1 + 16 * i, 16), 16, -10).cast("long")
-    extra = F.array(*(F.struct(F.lit(2).alias("which"), v.cast("long").alias("h"), F.lit(i).cast("long").alias("x")) for i, v in enumerate((F.col("doc_id"), F.col("n_chars"), F.col("into"), *map(quarter, range(4))))))
-    # outer: a filter on the arrays' sizes would be pushed down and compute them again for each element
-    long = own.select("bucket", "seq", F.inline_outer(F.concat("x", "y", extra)))
-    third = F.col("which") == 2
+    none = F.lit(0).cast("long")
+    extra = F.array(*(F.struct(v.cast("long").alias("h"), F.lit(-1 - i).cast("long").alias("x"), none.alias("y")) for i, v in enumerate((F.col("doc_id"), F.col("n_chars"), F.col("into"), *map(quarter, range(4))))))
+    # outer: a filter on the array's size would be pushed down and compute it again for each element
+    total = lambda n: F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc + w[n]).alias(f"all_{n}")
+    # in a projection of their own: beside the generator they would be added up again for each element
+    own = own.select("*", total("x"), total("y"))
+    long = own.select("bucket", "seq", "all_x", "all_y", F.inline_outer(F.concat("words", extra)))
+    third = F.col("x") < 0
+    share = lambda n: F.coalesce(F.col(n) / F.col(f"all_{n}"), F.lit(0.0))
     lane = gcd(slots, LANE)
-    words = long.withColumn("ln_x", F.log(F.col("x").cast("double"))).withColumn("at", F.explode(F.when(third, F.array(F.col("x").cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(slots // lane - 1)))))
-    at = lambda i: F.col("at") * lane + i
-    kept = words.groupBy("bucket", "seq", "which", "at").agg(F.max(F.when(third, F.col("h"))).alias("told"), *(F.min(sample(at(i))).alias(f"s{i}") for i in range(lane)))
-    values = F.array(*(F.shiftleft(at(i), 16).bitwiseOR(F.col(f"s{i}").bitwiseAND(F.lit(0xFFFF))).cast("int") for i in range(lane)))
-    side = lambda i: F.sort_array(F.flatten(F.collect_list(F.when(F.col("which") == i, values))))
-    told = lambda i: F.max(F.when(third & (F.col("at") == i), F.col("told")))
-    prints = kept.groupBy("bucket", "seq").agg(told(0).alias("doc_id"), told(1).alias("n_chars"), told(2).cast("int").alias("into"), *(told(3 + i).alias(f"s{i}") for i in range(4)), side(0).alias("a"), side(1).alias("b"))
+    # the logarithm of a count of 0 or below is null
+    counted = long.select("*", F.log(F.col("x").cast("double")).alias("ln_x"), F.log(F.col("y").cast("double")).alias("ln_y"), F.when(third, -1.0).otherwise(F.greatest(share("x"), share("y")) * SURE).alias("most"))
+    counted = counted.withColumn("at", F.explode(F.when(third, F.array((-1 - F.col("x")).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(slots // lane - 1)))))
+    kept = drawn(counted, lane).groupBy("bucket", "seq", "at").agg(F.max(F.when(third, F.col("h"))).alias("told"), *(F.min(sample(i, f"ln_{n}")).alias(f"{n}{i}") for n in "xy" for i in range(lane)))
+    values = lambda n: F.filter(F.array(*(F.shiftleft(F.col("at") * lane + i, 16).bitwiseOR(F.col(f"{n}{i}").bitwiseAND(F.lit(0xFFFF))).cast("int") for i in range(lane))), lambda v: v.isNotNull())
+    side = lambda n: F.sort_array(F.flatten(F.collect_list(values(n))))
+    told = lambda i: F.max(F.when(F.col("at") == i, F.col("told")))
+    prints = kept.groupBy("bucket", "seq").agg(told(0).alias("doc_id"), told(1).alias("n_chars"), told(2).cast("int").alias("into"), *(told(3 + i).alias(f"s{i}") for i in range(4)), side("x").alias("a"), side("y").alias("b"))
     prints = prints.withColumn("sha", F.lower(F.concat(*(F.lpad(F.hex(f"s{i}"), 16, "0") for i in range(4))))).drop("s0", "s1", "s2", "s3")
     prints = stored(prints, "fingerprints")
     mine = prints.withColumn("to_bucket", F.coalesce("into", "bucket")).withColumn("to_seq", F.when(F.col("into").isNull(), F.col("seq") + 1).otherwise(1))

@@ -71,3 +71,13 @@ def test_skewed_counts(spark):
     assert len(errors) == 200 and max(map(abs, errors)) < 0.27
     assert abs(sum(errors) / len(errors)) < 0.03
     assert sum(e * e for e in errors) / len(errors) < 0.08**2
+
+
+def test_skipped_draws_change_nothing(spark, monkeypatch):
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(vocab[: rng.choice([3, 400])]) for _ in range(rng.choice([1, 2, 30, 900])))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(fingerprints.fingerprint_documents(df).collect())
+    monkeypatch.setattr(fingerprints, "SURE", float("inf"))
+    assert got == sorted(fingerprints.fingerprint_documents(df).collect())
