@@ -118,11 +118,11 @@ def part(doc_id) -> int:
     return zlib.crc32(str(doc_id).encode()) % 4
 
 
-def learned_lexicon(labelled: DataFrame) -> DataFrame:
+def learned_lexicon(labelled: DataFrame, most: int = LEXICON_ROWS) -> DataFrame:
     """stem, weight: word beginnings that mark toxic documents, over all rows of ``labelled`` (text, toxic).
 
     Each task counts documents by stem before the shuffle. The weight is the lower bound (about two standard errors) of
-    the log-odds against the base rate; only bounds over 1 stay, the ``LEXICON_ROWS`` strongest by weight and support.
+    the log-odds against the base rate; only bounds over 1 stay, the ``most`` strongest by weight and support.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +158,7 @@ def learned_lexicon(labelled: DataFrame) -> DataFrame:
     base = (F.col("toxic_rows") + 1) / (F.col("rows") + 2)
     odds = F.log(low / (1 - low)) - F.log(base / (1 - base))
     weighed = counted.join(F.broadcast(totals)).withColumn("weight", odds)  # totals: one row
-    return weighed.where("weight > 1").select("stem", "weight", "n").orderBy(F.desc(F.col("weight") * F.log(F.col("n") + 1)), "stem").limit(LEXICON_ROWS)
+    return weighed.where("weight > 1").select("stem", "weight", "n").orderBy(F.desc(F.col("weight") * F.log(F.col("n") + 1)), "stem").limit(most)
 
 
 def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
@@ -182,13 +182,17 @@ def bounded(labels: DataFrame, rows: int) -> DataFrame:
     return labels if n <= rows else labels.where(F.pmod(F.xxhash64("l_id", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * rows / n))
 
 
-def toxicity(df: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, lexicon_fit_rows: int = LEXICON_FIT_ROWS) -> DataFrame:
+def toxicity(df: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, lexicon_fit_rows: int = LEXICON_FIT_ROWS, lexicon_rows: int = LEXICON_ROWS) -> DataFrame:
     """Score every whole text of ``df``.
 
     ``labels`` has ``doc_id`` and ``toxic`` (0 or 1); only rows whose crc32(doc_id as text) mod 4 is not 2 teach.
     Returns ``doc_id``, ``key`` (hash of the text), ``held_out``, ``score`` (0 to 1), ``predicted`` (int) and ``raw``,
     the trees' probability before calibration.
 
+    The model is fitted on bounded samples of labels: trees and calibration on about ``fit_rows`` each, the lexicon of
+    word beginnings on about ``lexicon_fit_rows``, of which its ``lexicon_rows`` strongest entries are kept; the lexicon is
+    collected and broadcast, so raise that only as far as a worker can hold. Every document is scored.
+
     Null texts count as empty and are scored. Null ids are scored and teach nothing. Null labels and labels without a
     document teach nothing; a document labelled both ways teaches both. If one class is missing, all scores are the
     share of toxic labels. Repeated rows have a result each. An empty table gives none. Other columns are not read.
@@ -199,8 +203,8 @@ def toxicity(df: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id_col
     teach = stored(known.withColumn("l_part", part_of).where("l_part <> 2"), "labels")
     own = teach.where("l_part <> 1")
     lexicon_labels = F.broadcast(bounded(own, lexicon_fit_rows))
-    lexicon_rows = learned_lexicon(docs.join(lexicon_labels, docs.doc_id == lexicon_labels.l_id).select("text", "toxic"))
-    lexicon = {r.stem: r.weight for r in lexicon_rows.collect()}
+    learned = learned_lexicon(docs.join(lexicon_labels, docs.doc_id == lexicon_labels.l_id).select("text", "toxic"), lexicon_rows)
+    lexicon = {r.stem: r.weight for r in learned.collect()}
     scored = stored(with_features(docs, lexicon), "features")
     sampled = F.broadcast(bounded(own, fit_rows).union(bounded(teach.where("l_part = 1"), fit_rows)))
     taught = stored(scored.join(sampled, scored.doc_id == sampled.l_id).drop("l_id").withColumn("label", F.col("toxic").cast("double")), "taught")

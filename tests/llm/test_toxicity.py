@@ -49,3 +49,11 @@ def test_plain():
     assert toxicity.plain("i.d.i.o.t") == ("idiot", True)
     assert toxicity.plain("Hello,") == ("hello", False)
     assert toxicity.plain("2024.") == ("2024", False)
+
+
+def test_lexicon_limit_is_a_parameter(spark):
+    rows = [(f"grobword{i % 3} shared text{i}", 1) for i in range(30)] + [(f"shared kind{i} text", 0) for i in range(60)]
+    labelled = spark.createDataFrame(rows, "text string, toxic int")
+    every = [tuple(r) for r in toxicity.learned_lexicon(labelled).collect()]
+    assert len(every) > 2
+    assert [tuple(r) for r in toxicity.learned_lexicon(labelled, 2).collect()] == every[:2]
