@@ -10,6 +10,9 @@ from lineweave.functions.text import cell, meaningless, to_int
 #: Keys of a canonical table row and the order in which columns are shown.
 CANONICAL = ("itemCode", "itemName", "spec", "lotNo", "serialNo", "manufacturingNo", "expiryDate", "quantity", "unit", "unitPrice", "supplyAmount", "taxAmount", "amount", "totalAmount", "manufacturer", "insuranceCode", "remark")
 
+#: Columns of a template at most; it is broadcast.
+TEMPLATE_ROWS = 1_000
+
 
 def boundaries(headers: DataFrame) -> DataFrame:
     """Column intervals from header cells (doc_id, key, x, w): edges at the midpoints between neighbours."""
@@ -23,13 +26,15 @@ def boundaries(headers: DataFrame) -> DataFrame:
 def assign_columns(lines: DataFrame, bounds: DataFrame, reach: float = 0.7) -> DataFrame:
     """Adds ``key``: the column whose interval holds cx, else the nearest header within ``reach`` average widths.
 
-    ``bounds`` (key, x_start, x_end, header_cx) is one template, tens of rows, and is broadcast; with a ``doc_id`` it is
-    one per document and joined by it. Lines that reach no column are dropped.
+    ``bounds`` (key, x_start, x_end, header_cx) is one template and is broadcast, so one of more than ``TEMPLATE_ROWS`` rows
+    is refused (its rows are counted at once); with a ``doc_id`` it is one per document and joined by it. Lines that
+    reach no column are dropped.
     """
     by_doc = "doc_id" in bounds.columns
-    own = bounds.withColumnRenamed("doc_id", "b_doc") if by_doc else F.broadcast(bounds)
+    if not by_doc and bounds.limit(TEMPLATE_ROWS + 1).count() > TEMPLATE_ROWS:
+        raise ValueError(f"a template has at most {TEMPLATE_ROWS} columns; give bounds a doc_id to join them by document")
     whole = Window.partitionBy("b_doc") if by_doc else Window.partitionBy()
-    own = (own if by_doc else bounds).withColumn("avg_w", F.avg(F.col("x_end") - F.col("x_start")).over(whole))
+    own = bounds.withColumnRenamed("doc_id", "b_doc").withColumn("avg_w", F.avg(F.col("x_end") - F.col("x_start")).over(whole))
     far = F.abs(F.col("cx") - F.col("header_cx"))
     inside = (F.col("cx") >= F.col("x_start")) & (F.col("cx") < F.col("x_end"))
     on = inside | (far <= reach * F.col("avg_w"))

@@ -180,3 +180,11 @@ def test_shared_folder_needs_a_setting_on_clusters():
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError):
         shared.shared_dir(cluster)
+
+
+def test_long_templates_are_refused(spark):
+    lines = spark.createDataFrame([(1, 0, 5.0)], "doc_id long, line_idx int, cx double")
+    bounds = spark.range(tables.TEMPLATE_ROWS + 1).selectExpr("cast(id as string) key", "10D * id x_start", "10D * id + 10 x_end", "10D * id + 5 header_cx")
+    assert [r.key for r in tables.assign_columns(lines, bounds.where("x_start < 100")).collect()] == ["0"]
+    with pytest.raises(ValueError):
+        tables.assign_columns(lines, bounds)
