@@ -777,3 +777,6 @@ def candidate_variants(spark, d):
     tags = F.array_compact(F.array(F.when(k % 3 == 0, "skewed"), F.when(k % 2 == 0, "low_contrast")))
     samples = o.select(k.alias("k"), tags.alias("quality_tags"), F.when(F.col("o_orderstatus") == "F", "invoice_statement").otherwise("receipt_pos").alias("doc_type"))
     return evaluate.candidate_variants(samples).select("k", F.array_join("variants", ",").alias("variants"))
+
+
+from lineweave import field_queries  # noqa: E402, F401  registers its queries, which need ``query``
