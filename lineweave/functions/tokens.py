@@ -246,7 +246,7 @@ def serial_number(c: Column) -> Column:
 
 
 def unit_of(c: Column) -> Column:
-    return F.upper(F.regexp_extract(text_of(c), r"(?iU)\b(BOX|EA)\b", 1))
+    return F.upper(F.regexp_extract(text_of(c), r"(?i)(?<![\p{L}\p{N}_])(BOX|EA)(?![\p{L}\p{N}_])", 1))
 
 
 def item_code(c: Column, item_name: Column, spec: Column) -> Column:
