@@ -4,8 +4,8 @@ Counting is a HAT-trie in each task: a shallow trie of word ids whose leaves are
 phrases of a range of sibling words; one that outgrows ``BURST`` entries bursts, into two halves of its range or, once it
 holds a single word, into a node of the next word. Only the longest phrase that begins at each word is put in; shorter
 ones are sums over subtrees. Beyond ``ENTRIES`` the largest subtrees leave whole, as runs sorted by phrase. Spark deals
-the runs out by their prefix, the first two words, merges them and sums the shorter phrases where their rows already lie.
-Prefixes that very many words follow are dealt out by the third word too.
+the runs out by their prefix, the first two words, and merges them; a pass over the merged rows sums phrases of every
+length. Prefixes that very many words follow are dealt out by the third word too.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ CHUNK = 4 << 20
 #: Prefixes of which the words that follow are dealt out in ``SPLITS`` parts: the ``BUSY`` ones that at least ``FOLLOWED``
 #: words follow in the beginnings of the first ``SAMPLE`` documents.
 BUSY, SPLITS, FOLLOWED, SAMPLE, SAMPLE_LETTERS = 4096, 64, 50, 2000, 20_000
+#: Rows of sorted runs that are summed at a time.
+MERGED = 1 << 15
 #: The split of rows that hold sums of first words.
 FIRST = -1
 #: Groups of a language's phrases that are cut to the first ``top`` before the language is.
@@ -223,12 +225,12 @@ class PhraseCounts:
         spellings = pa.array([b"", *names], pa.binary()).cast(pa.string())
         spelling = lambda k, i: spellings.take(pa.array(word(k, i)))
         firsts, sums = _summed(ranked >> self.bits * (self.words - 1), counts)
-        yield from _rows(lang, FIRST, spellings.take(pa.array(firsts)), "", sums)
-        yield from _rows(lang, FIRST, pa.array([""]), "", np.array([counts.sum()]))
+        none = [""] * (self.words - 2)
+        yield from _rows(lang, FIRST, spellings.take(pa.array(firsts)), none, sums)
+        yield from _rows(lang, FIRST, pa.array([""]), none, np.array([counts.sum()]))
         longer = word(ranked, 1) > 0
         ranked, counts = ranked[longer], counts[longer]
         prefix = pc.binary_join_element_wise(spelling(ranked, 0), spelling(ranked, 1), " ")
-        rest = spelling(ranked, 2) if self.words > 2 else ""
         split = np.zeros(len(ranked), np.int32)
         if self.words > 2:
             rank_of = lambda w: int(rank[self.known.get(w, 0)])
@@ -236,9 +238,7 @@ class PhraseCounts:
             hit = np.isin(ranked >> self.bits * (self.words - 2), pairs)
             part_of = np.array([1 + crc32(w) % SPLITS for w in (b"", *names)], np.int32)
             split[hit] = part_of[word(ranked[hit], 2)]
-        for i in range(3, self.words):
-            rest = pc.utf8_rtrim(pc.binary_join_element_wise(rest, spelling(ranked, i), " "), characters=" ")
-        yield from _rows(lang, split, prefix, rest, counts)
+        yield from _rows(lang, split, prefix, [spelling(ranked, i) for i in range(2, self.words)], counts)
 
     def close(self) -> Iterator[pa.RecordBatch]:
         for lang in list(self.waiting):
@@ -248,15 +248,77 @@ class PhraseCounts:
         self.waiting_bytes.clear()
 
 
-def _rows(lang: str, split, prefix: pa.Array, rest, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(lang: str, split, prefix: pa.Array, rest: list, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     n = len(prefix)
     whole = lambda x, kind: pa.repeat(pa.scalar(x, kind), n) if isinstance(x, int | str) else pa.array(x, kind)
-    cols = [whole(lang, pa.string()), whole(split, pa.int32()), prefix, whole(rest, pa.string()), pa.array(counts, pa.int64())]
-    table = pa.RecordBatch.from_arrays(cols, names=["lang", "split", "prefix", "rest", "a"])
+    cols = [prefix, whole(split, pa.int32()), whole(lang, pa.string()), *(whole(r, pa.string()) for r in rest), pa.array(counts, pa.int64())]
+    table = pa.RecordBatch.from_arrays(cols, names=[*_key(len(rest) + 2), "a"])
     for at in range(0, n, 1 << 16):
         yield table.slice(at, 1 << 16)
 
 
+def _key(words: int) -> list[str]:
+    """The columns of a run's key: prefix, split and language, and the words behind the prefix ("" behind a piece's end)."""
+    return ["prefix", "split", "lang", *(f"w{i}" for i in range(3, words + 1))]
+
+
+def _merged(batches: Iterator[pa.RecordBatch], words: int, min_count: int) -> Iterator[pa.RecordBatch]:
+    """Sums of sorted runs, for every length: lang, phrase, a, whole (false: the sum of one split of a prefix)."""
+    open_: dict[int, tuple[tuple, int]] = {}
+    names = _key(words)
+
+    def frequent(n: int, keys: list[pa.Array], sums: np.ndarray) -> pa.RecordBatch:
+        split = keys[1].to_numpy()
+        kept = sums >= min_count
+        if n == 2:
+            kept |= (split > 0) | pc.equal(keys[0], "").to_numpy(zero_copy_only=False)
+        else:
+            kept &= pc.not_equal(keys[-1], "").to_numpy(zero_copy_only=False)
+        keys, at = [k.filter(pa.array(kept)) for k in keys], np.flatnonzero(kept)
+        phrase = pc.binary_join_element_wise(keys[0], *keys[3:], " ") if n > 2 else keys[0]
+        whole = pa.array(split[at] <= 0) if n == 2 else pa.repeat(True, len(at))
+        return pa.RecordBatch.from_arrays([keys[2], phrase, pa.array(sums[at]), whole], names=["lang", "phrase", "a", "whole"])
+
+    def alone(n: int, key: tuple, total: int) -> pa.RecordBatch:
+        return frequent(n, [pa.array([v], pa.int32() if i == 1 else pa.string()) for i, v in enumerate(key)], np.array([total]))
+
+    for table in _gathered(batches):
+        a = table.column("a").to_numpy()
+        changed = np.zeros(len(a) - 1, bool)
+        for i, name in enumerate(names):
+            column = table.column(name)
+            changed |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            n = i  # the words that a phrase of these columns has
+            if n < 2:
+                continue
+            starts = np.r_[0, np.flatnonzero(changed) + 1]
+            sums = np.add.reduceat(a, starts)
+            at = lambda j, i=i: tuple(table.column(c)[j].as_py() for c in names[: i + 1])
+            if n in open_:
+                key, total = open_[n]
+                if key == at(0):
+                    sums[0] += total
+                else:
+                    yield alone(n, key, total)
+            open_[n] = at(int(starts[-1])), int(sums[-1])
+            if len(starts) > 1:
+                yield frequent(n, [table.column(c).take(pa.array(starts[:-1])) for c in names[: i + 1]], sums[:-1])
+    for n, (key, total) in open_.items():
+        yield alone(n, key, total)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to ``MERGED`` rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held += [batch] * (batch.num_rows > 0)
+        if sum(b.num_rows for b in held) >= MERGED:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _named(df: DataFrame, lang: str, text: str) -> DataFrame:
     return df.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_of(text).alias("text"))
 
@@ -285,25 +347,10 @@ def phrase_counts(df: DataFrame, *, max_words: int, min_count: int, lang: str =
                 yield from held.text(name, value.as_py())
         yield from held.close()
 
-    runs = over_arrow(named, run, "lang string, split int, prefix string, rest string, a long")
-    at = ["lang", "prefix", "split"]
-    merged = runs.repartition(*at).groupBy(*at, "rest").agg(F.sum("a").alias("a"))
-    # shorter phrases are sums over the rows of their prefix, which one partition holds, or one for each split
-    longer = F.col("split") != FIRST
-    found = [F.when(~longer & ((F.col("prefix") == "") | (F.col("a") >= min_count)), F.struct(F.col("prefix").alias("phrase"), "a", F.lit(True).alias("whole")))]
-    for n in range(2, max_words):
-        group = Window.partitionBy(*at) if n == 2 else Window.partitionBy(*at, F.substring_index("rest", " ", n - 2))
-        merged = merged.withColumn(f"sum{n}", F.sum("a").over(group)).withColumn(f"at{n}", F.row_number().over(group.orderBy("rest")))
-        phrase = F.col("prefix") if n == 2 else F.concat_ws(" ", "prefix", F.substring_index("rest", " ", n - 2))
-        whole = F.col("split") == 0 if n == 2 else F.lit(True)
-        here = longer & (_n_words("rest") >= n - 2) & (F.col(f"at{n}") == 1) & (~whole | (F.col(f"sum{n}") >= min_count))
-        found.append(F.when(here, F.struct(phrase.alias("phrase"), F.col(f"sum{n}").alias("a"), whole.alias("whole"))))
-    last = longer & (F.col("a") >= min_count) & (_n_words("rest") == max_words - 2)
-    found.append(F.when(last, F.struct(F.concat_ws(" ", "prefix", F.nullif("rest", F.lit(""))).alias("phrase"), "a", F.lit(True).alias("whole"))))
-    frequent = (F.col("a") >= min_count) | (F.col("split") > 0) | (F.col("prefix") == "")
-    for n in range(2, max_words):
-        frequent |= (F.col(f"sum{n}") >= min_count) & (F.col(f"at{n}") == 1)
-    rows = merged.where(frequent).select("lang", F.explode(F.array_compact(F.array(*found))).alias("f")).select("lang", "f.*")
+    keys = _key(max_words)
+    schema = ", ".join(f"{k} {'int' if k == 'split' else 'string'}" for k in keys)
+    runs = over_arrow(named, run, f"{schema}, a long").repartition("prefix", "split", "lang").sortWithinPartitions(*keys)
+    rows = over_arrow(runs, lambda batches: _merged(batches, max_words, min_count), "lang string, phrase string, a long, whole boolean")
     rows = stored(rows, "phrases")
     split = rows.where("not whole").groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= min_count)
     return rows.where("whole").drop("whole").unionByName(split).withColumn("words", F.when(F.col("phrase") == "", 0).otherwise(_n_words("phrase")))

@@ -69,13 +69,13 @@ def test_bursts_and_spills(monkeypatch, words):
         part = batch.to_pylist()
         runs += 1
         if len(part) > 1 and part[0]["split"] >= 0:
-            keys = [(r["prefix"].split(" "), r["rest"].split(" ")) for r in part]
+            keys = [(r["prefix"].split(" "), r.get("w3"), r.get("w4")) for r in part]
             assert keys == sorted(keys)
         for r in part:
             if r["split"] == C.FIRST:
                 got[r["lang"], r["prefix"]] += r["a"]
             else:
-                phrase = (r["prefix"] + " " + r["rest"]).rstrip(" ").split(" ")
+                phrase = r["prefix"].split(" ") + [w for w in (r.get("w3"), r.get("w4")) if w]
                 for m in range(2, len(phrase) + 1):
                     got[r["lang"], " ".join(phrase[:m])] += r["a"]
     want = Counter()
