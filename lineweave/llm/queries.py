@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.llm import bpe, collocations, fingerprints, licenses, line_dedup, minhash, mixing, periodic_runs, suffix_dedup, token_counts, topk, toxicity
+from lineweave.llm import bpe, collocations, fingerprints, licenses, line_dedup, minhash, mixing, neighbours, periodic_runs, suffix_dedup, token_counts, topk, toxicity
 from lineweave.llm._shared import documents
 
 
@@ -61,6 +61,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = periodic_runs.with_planted_runs(documents(spark, sf_dir).select("doc_id", "text"))
     runs = periodic_runs.periodic_runs(planted, min_exponent=4, min_length=6, with_text=False)
@@ -71,5 +76,5 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir), min_words=2, max_words=3, min_count=10, share=50, top=2000)
 
 
-QUERIES = {"op1_licenses": op1_licenses, "op2_bpe": op2_bpe, "op3_line_dedup": op3_line_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_fingerprints": op9_fingerprints, "op10_topk": op10_topk, "op12_periodic_runs": op12_periodic_runs, "op13_collocations": op13_collocations}
+QUERIES = {"op1_licenses": op1_licenses, "op2_bpe": op2_bpe, "op3_line_dedup": op3_line_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_fingerprints": op9_fingerprints, "op10_topk": op10_topk, "op11_neighbours": op11_neighbours, "op12_periodic_runs": op12_periodic_runs, "op13_collocations": op13_collocations}
 ORACLES: dict[str, str] = {"op10_topk": topk.ORACLE, "op13_collocations": collocations.ORACLE}
