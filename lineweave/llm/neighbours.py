@@ -25,7 +25,7 @@ from lineweave.llm._shared import over_arrow, stored
 #: Vectors of a shard, about; neighbours of a node above level 0 (twice as many there).
 SHARD_ROWS, NEIGHBOURS = 4096, 16
 #: Candidates kept while a node is linked, and while a query walks.
-BUILD_WIDTH, SEARCH_WIDTH = 48, 64
+BUILD_WIDTH, SEARCH_WIDTH = 48, 96
 #: Nodes linked at a time, at most a quarter of those that are there; queries that walk at a time.
 LINKED, WALKING = 256, 256
 #: Queries of a block, and the blocks from which on a shard goes to more than one task.
