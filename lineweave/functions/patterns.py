@@ -27,6 +27,8 @@ SPEC_ONLY = r"\d+(?:[.,]\d+)?(?:mg|ml|g|kg|t|tab|cap|caps?|c|정|캡슐|포|병|
 FINAL_REJECT = r"^(?:전?일?잔액|잔액|주문서|주문NO|단가|단뭐|수량|공급|세액|합계|거래일자|주문일자|품목코드|계약코드|거래명세|담가|누계|.*(?:거래금액|잔액|잔고|금액)$)"
 STREET_NUMBER = r"[가-힣]{1,12}(?:로|길)\s*\d"
 STREET_TAIL = r"(?:로|길)\d+|\d+\([가-힣]+동\)|[가-힣]+동\)"
+#: Labels of parties on invoices.
+REPRESENTATIVE_ANCHOR = r"성\s*명|대표자(?:명)?"
 #: Words of receipts that are no names, and labels after which a value ends.
 TOP_TEXT = r"다른경우|실제와|가맹점주소가|전기작업|작업지시|직원|식지|재발행|체크카드|신용매출|귀하|안내문|설명문구|예시문구|작성문구|신고안내|여신금융|협회|고객센터|승인번호|카드번호|거래일시|매출전표|공급가액|부가세|합계|총계|품목|수량|단가|금액|van|tid|cat|ibk|nh"
 NEXT_LABEL = r"\s*(?:사업자(?:등록)?번호|등록번호|대표자?|성명|주소|TEL|전화|가맹점명|가맹점No|가맹점번호|승인번호|카드번호|거래일시)\s*[:;]?"

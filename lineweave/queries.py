@@ -779,4 +779,4 @@ def candidate_variants(spark, d):
     return evaluate.candidate_variants(samples).select("k", F.array_join("variants", ",").alias("variants"))
 
 
-from lineweave import field_queries  # noqa: E402, F401  registers its queries, which need ``query``
+from lineweave import field_queries, spatial_queries  # noqa: E402, F401  they register their queries, which need ``query``
