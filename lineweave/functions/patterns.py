@@ -29,6 +29,15 @@ STREET_NUMBER = r"[가-힣]{1,12}(?:로|길)\s*\d"
 STREET_TAIL = r"(?:로|길)\d+|\d+\([가-힣]+동\)|[가-힣]+동\)"
 #: Labels of parties on invoices.
 REPRESENTATIVE_ANCHOR = r"성\s*명|대표자(?:명)?"
+#: Labels of summary amounts on invoices (letters of any case but in the first two), and words of rows that hold none.
+SUPPLY_LABEL = r"공\s*급\s*가\s*액|공\s*급\s*액|공\s*급\s*금\s*액|공\s*급\s*가(?![가-힣])|과\s*세\s*금\s*액|매\s*출\s*액|순\s*매\s*출"
+WEAK_SUPPLY_LABEL = r"소\s*계|과\s*세"
+TAX_LABEL = r"세\s*액|새\s*액|세\s*익|세\s*악|부\s*가\s*세|부\s*가\s*서|부\s*가\s*가\s*치\s*세|\bVAT\b|\bV\.A\.T\b|\bTAX\b"
+TOTAL_LABEL = r"합\s*계|총\s*계|총\s*합\s*계|총\s*금\s*액|총\s*액|청\s*구\s*금\s*액|청\s*구\s*액|결\s*제\s*금\s*액|총\s*공\s*급\s*대\s*가|공\s*급\s*대\s*가|합\s*계\s*금\s*액|\bTOTAL\b"
+ITEM_CONTEXT = r"품\s*명|품\s*목|품\s*코드|수\s*량|단\s*가"
+NO_SUMMARY = r"사업자|등록번호|전\s*화|FAX|TEL|계좌|은행|Page|페이지"
+INVOICE_DATE = r"(?<!\d)\d{4}\s*년\s*\d{1,2}\s*월\s*\d{1,2}\s*일|(?<!\d)(?:\d{4}|\d{2})[.\-/]\s*\d{1,2}[.\-/]\s*\d{1,2}(?!\d)"
+LOT_CONTEXT = r"Lot\s*No|LOT|Serial|시리얼|로트|유효일자|제품코드|상품코드|품목코드|총수량|수량|단위"
 #: Words of receipts that are no names, and labels after which a value ends.
 TOP_TEXT = r"다른경우|실제와|가맹점주소가|전기작업|작업지시|직원|식지|재발행|체크카드|신용매출|귀하|안내문|설명문구|예시문구|작성문구|신고안내|여신금융|협회|고객센터|승인번호|카드번호|거래일시|매출전표|공급가액|부가세|합계|총계|품목|수량|단가|금액|van|tid|cat|ibk|nh"
 NEXT_LABEL = r"\s*(?:사업자(?:등록)?번호|등록번호|대표자?|성명|주소|TEL|전화|가맹점명|가맹점No|가맹점번호|승인번호|카드번호|거래일시)\s*[:;]?"
