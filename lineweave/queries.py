@@ -779,4 +779,4 @@ def candidate_variants(spark, d):
     return evaluate.candidate_variants(samples).select("k", F.array_join("variants", ",").alias("variants"))
 
 
-from lineweave import across_queries, block_queries, field_queries, layout_queries, sourcing_queries, spatial_queries  # noqa: E402, F401  they register their queries, which need ``query``
+from lineweave import across_queries, block_queries, draft_queries, field_queries, layout_queries, sourcing_queries, spatial_queries  # noqa: E402, F401  they register their queries, which need ``query``
