@@ -55,6 +55,9 @@ ADDRESS_NOISE = r"대표자|성명|상호|회사명|업체명|사업자|등록
 ADDRESS_BROAD = r"(?:서울|경기|경기도|인천|부산|대구|광주|대전|울산|세종|강원|충북|충남|전북|전남|경북|경남|제주)\s+[가-힣]+시\s+[가-힣]+구"
 CITY_PREFIX = r"서울특별시|서울특발시|서울|경기도|인천광역시|인천|부산광역시|부산|대구광역시|대구|광주광역시|광주|대전광역시|대전|울산광역시|울산|세종특별자치시|세종|강원도|강원|충청북도|충북|충청남도|충남|전라북도|전북|전라남도|전남|경상북도|경북|경상남도|경남|제주특별자치도|제주"
 MISREAD_SEOUL = ("서울특법시", "서울특발시", "서울록별시", "서울특벌시")
+#: Words of addresses on invoices, and of lines that go on with none.
+ADDRESS_WORD = REGION + r"|[가-힣]{1,10}(?:시|군|구|동|읍|면|리)|[가-힣]{1,16}(?:로|길|번길)"
+NO_ADDRESS_TAIL = r"인수|확인|서명|주문|담당자|영업|팀지점"
 #: Names of one field.
 FIELD_ALIASES = {
     "회사명": ("회사명", "상호", "상호명", "가맹점명", "companyname", "merchantname", "storename", "vendorname", "suppliername"),
