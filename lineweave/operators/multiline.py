@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lineweave.functions import tokens as K
 from lineweave.functions.text import fix_digits
+from lineweave.sources.shared import stored
 
 #: Item codes, amounts, labels with the most letters of a line that is one, and words that end a block of quantities.
 ITEM_CODE, AMOUNT = r"^[A-Z][A-Z0-9]{4,9}$", r"^\d{1,3}(?:,\d{3})+$"
@@ -116,9 +117,9 @@ def recovered(lines: DataFrame, rows: DataFrame, keys: tuple[str, ...] = KEYS) -
     tables of two rows or more where half of its cells are empty, and filled only where all names are found on the page.
     Adds ``filled`` (the keys filled in the row) and ``warnings`` (of the table: mapping, or what was not found).
     """
-    ordered = reading_order(lines)
-    tables = _lacking(rows, keys)
-    order = name_order(ordered, rows.join(tables.select("doc_id"), "doc_id", "left_semi"))
+    ordered = stored(reading_order(lines), "reading-order")
+    tables = stored(_lacking(rows, keys), "lacking-tables")
+    order = stored(name_order(ordered, rows.join(tables.select("doc_id"), "doc_id", "left_semi")), "name-order")
     mapped = order.select("doc_id").distinct()
     sizes = lambda k: tables.where(F.col(f"want_{k}")).join(mapped, "doc_id", "left_semi").select("doc_id", "n")
     finders = {
@@ -131,6 +132,7 @@ def recovered(lines: DataFrame, rows: DataFrame, keys: tuple[str, ...] = KEYS) -
     for k in keys:
         found = finders[k](sizes(k)).withColumn("key", F.lit(k))
         blocks = found if blocks is None else blocks.unionByName(found)
+    blocks = stored(blocks, "value-blocks")
     counts = blocks.groupBy("doc_id").pivot("key", list(keys)).count().select("doc_id", *(F.col(k).alias(f"n_{k}") for k in keys))
     values = blocks.groupBy("doc_id", "seq").pivot("key", list(keys)).agg(F.first("value")).select("doc_id", "seq", *(F.col(k).alias(f"new_{k}") for k in keys))
     values = order.join(values, ["doc_id", "seq"]).drop("seq")
