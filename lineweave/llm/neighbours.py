@@ -174,10 +174,10 @@ def whole_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def build_index(df: DataFrame, *, ids_kept: int = 21, shard_rows: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """One row for each shard: shard, dim, data, links, sizes, entry, members.
+    """One row for each shard: dim, shard, data, links (by level), entry, and for each node sizes, ids and times.
 
-    Every vector is indexed, in the shard of its hash and length. ``members`` are the ``ids_kept`` smallest ids of each
-    distinct vector with their number of rows.
+    Every vector is indexed, in the shard of its hash and length. A node's ``ids`` are the ``ids_kept`` smallest ones of its
+    vector, ``sizes`` their number, and ``times`` the number of rows of each.
     """
     rows = whole_vectors(df, id_col, vector_col).groupBy("v", "vec_id").agg(F.count("*").alias("n"))
     # a vector of very many copies: the window keeps its smallest ids before the shuffle, as it is cut by its rank
