@@ -754,4 +754,4 @@ def candidate_variants(spark, d):
     return evaluate.candidate_variants(samples).select("k", F.array_join("variants", ",").alias("variants"))
 
 
-from lineweave import across_queries, address_queries, block_queries, columnar_queries, draft_queries, field_queries, kind_queries, layout_queries, sourcing_queries, spatial_queries  # noqa: E402, F401  they register their queries, which need ``query``
+from lineweave import across_queries, address_queries, block_queries, columnar_queries, draft_queries, field_queries, kind_queries, layout_queries, snapshot_queries, sourcing_queries, spatial_queries  # noqa: E402, F401  they register their queries, which need ``query``
