@@ -1,7 +1,7 @@
 """Column functions on recognised text: numbers, identifiers, phones, dates, categories, cell clean-up.
 
-All are built-in expressions, so they stay in whole-stage code generation and work on any number of rows alike. Null
-in, null out, unless stated.
+All are built-in expressions, so they stay in the JVM and work on any number of rows alike; those that take lambdas
+(transform, filter, aggregate) are interpreted there, not compiled. Null in, null out, unless stated.
 """
 
 from __future__ import annotations
