@@ -41,7 +41,8 @@ def text_lines(texts: DataFrame, text: str = "text") -> DataFrame:
 
     Blank lines go before the numbering.
     """
-    trimmed = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), F.trim), lambda x: x != "")
+    # F.trim itself takes a second argument, so transform would hand it the index as the marks to cut
+    trimmed = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     lines = texts.select("doc_id", F.posexplode(trimmed).alias("line_idx", "text"))
     width = F.greatest(F.lit(20), F.least(F.lit(800), 8 * F.length("text")))
     return lines.withColumn("y", 10 + 20 * F.col("line_idx")).withColumn("h", F.lit(14)).withColumn("w", width).withColumn("synthetic", F.lit(True))

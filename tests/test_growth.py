@@ -1,0 +1,25 @@
+"""What went wrong on larger tables: texts and keys that small tables do not hold."""
+
+import duckdb
+from pyspark.sql import functions as F
+
+from lineweave.queries import ORACLES, QUERIES
+from lineweave.sources import json as sources
+
+
+def same(spark, name, folder, **tables):
+    """Rows of a query on ``tables``, written to ``folder``, which must be those of its SQL."""
+    con = duckdb.connect()
+    for t, df in tables.items():
+        df.coalesce(1).write.parquet(f"{folder}/{t}.parquet")
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    got = QUERIES[name](spark, str(folder))
+    rows = sorted(tuple(r) for r in got.collect())
+    assert rows == sorted(con.execute(f"select {', '.join(got.columns)} from ({ORACLES[name]}) q").fetchall())
+    return rows
+
+
+def test_lines_of_text_keep_digits_at_their_ends(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "0 zero 00\n1 one 11\n  2 two 2 \n\n 33"), (2, None)], "doc_id long, text string")
+    assert [r.text for r in sources.text_lines(docs).orderBy("line_idx").collect()] == ["0 zero 00", "1 one 11", "2 two 2", "33"]
+    same(spark, "text_cache_lines", tmp_path, documents=docs)
