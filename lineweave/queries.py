@@ -734,15 +734,16 @@ def summary_triple_top1(spark, d):
     return parties.summary_triples(v)
 
 
-@query("select p_partkey as id, p_name || cast(p_partkey as string) as name, case when p_partkey % 4 = 0 then 'by id' when p_partkey % 4 = 1 then 'by name' else 'old' end as body from part union all select p_partkey + 1000000, 'new' || cast(p_partkey as string), 'added' from part where p_partkey % 4 = 2")
+@query("select p_partkey as id, p_name || cast(p_partkey as string) as name, case when p_partkey % 4 = 0 then 'by id' when p_partkey % 4 = 1 then 'by name' else 'old' end as body from part union all select -p_partkey, 'new' || cast(p_partkey as string), 'added' from part where p_partkey % 4 = 2")
 def template_upsert(spark, d):
+    """New templates by the id of a stored one, by its name under another id, and under an id of their own. Keys are positive, so negative ids are free."""
     p = read(spark, d, "part")
     k = F.col("p_partkey")
     name = F.concat("p_name", k.cast("string"))
     old = p.select(k.alias("id"), name.alias("name"), F.lit("old").alias("body"))
     new = p.where(k % 4 == 0).select(k.alias("id"), name.alias("name"), F.lit("by id").alias("body"))
-    new = new.unionByName(p.where(k % 4 == 1).select((k + 2_000_000).alias("id"), name.alias("name"), F.lit("by name").alias("body")))
-    new = new.unionByName(p.where(k % 4 == 2).select((k + 1_000_000).alias("id"), F.concat(F.lit("new"), k.cast("string")).alias("name"), F.lit("added").alias("body")))
+    new = new.unionByName(p.where(k % 4 == 1).select((-k).alias("id"), name.alias("name"), F.lit("by name").alias("body")))
+    new = new.unionByName(p.where(k % 4 == 2).select((-k).alias("id"), F.concat(F.lit("new"), k.cast("string")).alias("name"), F.lit("added").alias("body")))
     return history.upsert_named(old, new)
 
 

@@ -23,3 +23,11 @@ def test_lines_of_text_keep_digits_at_their_ends(spark, tmp_path):
     docs = spark.createDataFrame([(1, "0 zero 00\n1 one 11\n  2 two 2 \n\n 33"), (2, None)], "doc_id long, text string")
     assert [r.text for r in sources.text_lines(docs).orderBy("line_idx").collect()] == ["0 zero 00", "1 one 11", "2 two 2", "33"]
     same(spark, "text_cache_lines", tmp_path, documents=docs)
+
+
+def test_ids_of_new_templates_meet_no_stored_one(spark, tmp_path):
+    keys = [base + i for base in (0, 1_000_000, 2_000_000) for i in range(1, 9)]
+    part = spark.createDataFrame([(k, f"p{k}") for k in keys], "p_partkey long, p_name string")
+    rows = same(spark, "template_upsert", tmp_path, part=part)
+    assert len(rows) == len(keys) + 6
+    assert len({r[0] for r in rows}) == len(rows)
