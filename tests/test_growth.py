@@ -1,8 +1,11 @@
 """What went wrong on larger tables: texts and keys that small tables do not hold."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from lineweave.functions import text as T
+from lineweave.operators import amounts as A
 from lineweave.queries import ORACLES, QUERIES
 from lineweave.sources import json as sources
 
@@ -31,3 +34,26 @@ def test_ids_of_new_templates_meet_no_stored_one(spark, tmp_path):
     rows = same(spark, "template_upsert", tmp_path, part=part)
     assert len(rows) == len(keys) + 6
     assert len({r[0] for r in rows}) == len(rows)
+
+
+def test_a_line_without_amounts_is_looked_at_once(spark):
+    texts = [("합계 1.234 원", [(1234, "comma")]), ("12:345", [(12345, "ocr_colon")]), ("5,000원 2024-01-05 12345678", [(5000, "comma"), (12345678, "bare")]), ("12 krw", []), ("9999원", [(9999, "won_suffix")]), ("floral lime", []), (None, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, t string")
+    got = {r.i: r.v for r in df.select("i", T.best_tokens(F.col("t")).alias("v")).collect()}
+    assert [v if v is None else [(x.value, x.pattern) for x in v] for _, v in sorted(got.items())] == [want for _, want in texts]
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(doc_id")
+
+
+@pytest.mark.parametrize("name", ["row_texts", "amount_candidates", "supply_vat_synth", "candidate_merge_priority", "checksum_semi", "amount_score", "amount_select_top1", "amount_policy"])
+def test_lines_are_dealt_out_by_document_once(spark, name):
+    assert exchanges(QUERIES[name](spark, "/root/testdata/sf0.001")) == 1
+
+
+def test_sums_and_parts_of_equal_values(spark):
+    rows = [("a", 100, 1), ("a", 200, 2), ("a", 300, 3), ("b", 100, 1), ("b", 200, 2), ("c", 100, 1), ("c", 100, 2), ("c", 200, 3)]
+    found = spark.createDataFrame([(d, v, o, "", "", "합계" if v == 300 else "", "full_ocr") for d, v, o in rows], "doc_id string, value long, ordinal long, near_above string, near_below string, context string, source string")
+    assert sorted(map(tuple, A.sums_to_others(found).collect())) == [("a", 300), ("c", 200)]
+    assert sorted(map(tuple, A.partial_of_total(found).collect())) == [("a", 100), ("a", 200)]
