@@ -70,3 +70,10 @@ def test_running_rows_go_on_over_batches_of_lines(spark, first_fit):
     got = {(r.doc_id, r.line_idx): r.row_idx for r in out.collect()}
     assert all(got["long", i] == i // 1000 for i in range(24_000))
     assert all(got[f"d{i % 3000}", i] == i // 3000 - 8 for i in range(24_000, 30_000))
+
+
+@pytest.mark.parametrize("name", ["multiline_columns", "code_blocks"])
+def test_pages_and_tables_are_dealt_out_as_items(spark, name):
+    """Items are shuffled before they make lines, once for each place that reads lines or rows; nothing is stored."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(doc_id") == plan.count("FileScan parquet") == plan.count("lineitem.parquet") == 3
