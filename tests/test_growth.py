@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lineweave.functions import text as T
 from lineweave.operators import amounts as A
+from lineweave.operators import parties as P
 from lineweave.operators import rows as R
 from lineweave.plans import statements
 from lineweave.queries import ORACLES, QUERIES
@@ -97,3 +98,23 @@ def test_numbers_that_end_their_line_and_others(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, t string")
     got = [[(x.value, x.pattern) for x in r.v] for r in df.select("i", T.best_tokens(F.col("t")).alias("v")).orderBy("i").collect()]
     assert got == [want for _, want in texts]
+
+
+@pytest.mark.parametrize("name", ["label_window_amounts", "summary_pair_top1", "summary_triple_top1", "point_in_interval_cells"])
+def test_amounts_labels_and_columns_meet_without_other_shuffles(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == exchanges(QUERIES[name](spark, "/root/testdata/sf0.001")) == 1
+    assert plan.count("lineitem.parquet") == 1
+
+
+def test_totals_at_the_edge_of_what_is_close(spark):
+    """The largest total that is close to a sum, against all values in plain Python."""
+    close = lambda a, b: abs(a - b) <= max(2500, int(max(a, b) * 0.001))
+    sums = [1100, 2_499_999, 2_500_000, 9_990_000, 99_000_000, 123_456_789, 549_999_945]
+    df = spark.createDataFrame([(s,) for s in sums], "s long").select("s", P._largest_close(F.col("s")).alias("most"))
+    for s, most in df.collect():
+        assert close(s, most) and not close(s, most + 1)
+        supply = s * 10 // 11
+        values = [(1, supply), (2, s - supply), (9, most), (9, most + 1), (9, s - 1)]
+        got = P.summary_pairs(spark.createDataFrame([("d", r, v) for r, v in values], "doc_id string, row_idx int, value long")).first()
+        assert (got.supply, got.tax, got.total, got.score) == (supply, s - supply, most, 92)
