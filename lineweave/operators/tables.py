@@ -95,11 +95,18 @@ def assign_columns(lines: DataFrame, bounds: DataFrame, reach: float = 0.7) -> D
         raise ValueError(f"a template has at most {TEMPLATE_ROWS} columns; give bounds a doc_id to join them by document")
     whole = Window.partitionBy("b_doc") if by_doc else Window.partitionBy()
     own = bounds.withColumnRenamed("doc_id", "b_doc").withColumn("avg_w", F.avg(F.col("x_end") - F.col("x_start")).over(whole))
-    far = F.abs(F.col("cx") - F.col("header_cx"))
-    inside = (F.col("cx") >= F.col("x_start")) & (F.col("cx") < F.col("x_end"))
-    on = inside | (far <= reach * F.col("avg_w"))
-    hit = lines.join(own, on & (F.col("doc_id") == F.col("b_doc"))) if by_doc else lines.join(F.broadcast(own), on)
-    best = Window.partitionBy("doc_id", "line_idx").orderBy(F.when(inside, 0).otherwise(1), far, "key")
+    far = lambda b: F.abs(F.col("cx") - b["header_cx"])
+    inside = lambda b: (F.col("cx") >= b["x_start"]) & (F.col("cx") < b["x_end"])
+    on = lambda b: inside(b) | (far(b) <= reach * b["avg_w"])
+    rank = lambda b: (F.when(inside(b), 0).otherwise(1).alias("out"), far(b).alias("far"), b["key"].alias("key"))
+    if not by_doc:
+        # a line is looked up in the whole template, so lines are neither multiplied nor sorted
+        template = F.broadcast(own.agg(F.collect_list(F.struct("key", "x_start", "x_end", "header_cx", "avg_w")).alias("template")))
+        hit = lines.crossJoin(template).withColumn("key", F.array_min(F.transform(F.filter("template", on), lambda b: F.struct(*rank(b))))["key"])
+        return hit.where("key is not null").select(*lines.columns, "key")
+    at = {c: F.col(c) for c in own.columns}
+    best = Window.partitionBy("doc_id", "line_idx").orderBy(*rank(at))
+    hit = lines.join(own, on(at) & (F.col("doc_id") == F.col("b_doc")))
     return hit.withColumn("rn", F.row_number().over(best)).where("rn = 1").select(*lines.columns, "key")
 
 
