@@ -118,3 +118,9 @@ def test_totals_at_the_edge_of_what_is_close(spark):
         values = [(1, supply), (2, s - supply), (9, most), (9, most + 1), (9, s - 1)]
         got = P.summary_pairs(spark.createDataFrame([("d", r, v) for r, v in values], "doc_id string, row_idx int, value long")).first()
         assert (got.supply, got.tax, got.total, got.score) == (supply, s - supply, most, 92)
+
+
+@pytest.mark.parametrize("name", ["invoice_row_tests", "line_amounts", "line_parties", "line_identifiers"])
+def test_distinct_texts_are_not_gathered_in_the_driver(spark, name):
+    """A hundred texts of each part look as small as the file of parts, which a join by broadcast would take at its word."""
+    assert "Broadcast" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
